@@ -19,6 +19,8 @@ COORDINATES = BANDS * ROWS
 #: Darts thrown at a set: so many that few coordinates are left empty.
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 CACHE = 600_000
+#: In buckets of so many members all pairs of different classes are compared at last.
+SMALL = 64
 
 M1, M2, G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -155,23 +157,25 @@ def _verified(batches):
         yield {"p": batch.column("p").to_pylist(), "b": batch.column("b").to_pylist(), "sim": sims}
 
 
-def verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of the documents that pairs (p, b) name; written. The texts are shuffled by id at every size."""
+    ids = pairs.select(F.explode(F.array("p", "b")).alias("id")).distinct()
+    return written(docs.select("id", "text").join(ids.hint("merge"), "id", "left_semi"), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """p, b and similarity of pairs (p, b), with texts (id, text); written.
 
     A p with many pairs is split: its pairs are dealt over salts and its text goes to each. The list of such p has at
     most 1 / HOT_SHARE rows."""
-    total = pairs.count()
-    most = max(HOT_LEAST, int(total * HOT_SHARE))
+    most = max(HOT_LEAST, int(pairs.count() * HOT_SHARE))
     hot = pairs.groupBy("p").count().filter(F.col("count") > most).select(F.col("p").alias("hot_p"), F.ceil(F.col("count") / most).cast("int").alias("salts"))
-    hot = written(hot, f"{name}-hot")
-    ids = pairs.select(F.explode(F.array("p", "b")).alias("id")).distinct()
-    own = texts.join(ids, "id", "left_semi")
-    own = written(own, f"{name}-texts")
-    right = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    hot = written(hot, "hot")
+    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     right = right.join(F.broadcast(hot), F.col("p") == F.col("hot_p"), "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("salts"))).cast("int"))
-    left = own.join(F.broadcast(hot), F.col("id") == F.col("hot_p"), "left").select(F.col("id").alias("p"), F.col("text").alias("text_p"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    both = left.join(right.select("p", "b", "text_b", "salt"), ["p", "salt"])
-    return written(map_rows(both.select("p", "b", "text_p", "text_b"), _verified, "p long, b long, sim double"), f"{name}-sims")
+    left = texts.join(F.broadcast(hot), F.col("id") == F.col("hot_p"), "left").select(F.col("id").alias("p"), F.col("text").alias("text_p"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    both = left.hint("merge").join(right.select("p", "b", "text_b", "salt"), ["p", "salt"])
+    return written(map_rows(both.select("p", "b", "text_p", "text_b"), _verified, "p long, b long, sim double"), "sims")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,41 +205,67 @@ def components(edges: DataFrame) -> DataFrame:
     return left.sparkSession.createDataFrame([], "node long, root long") if out is None else out
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links (p, b) have joined the classes they connect; written."""
+    a, b = roots.select(F.col("node").alias("p"), F.col("root").alias("u")), roots.select(F.col("node").alias("b"), F.col("root").alias("v"))
+    then = components(links.join(a, "p").join(b, "b").select("u", "v")).select(F.col("node").alias("at"), F.col("root").alias("to"))
+    return written(roots.join(then, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+
+
+def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """h, m, rep and root of the members of those buckets that have more than one class; written."""
+    tagged = members.join(roots.withColumnRenamed("node", "rep"), "rep").select("h", "m", "rep", "root")
+    several = tagged.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
+    return written(tagged.join(several, "h", "left_semi"), "mixed")
+
+
+def starred(now: DataFrame, turn: int) -> DataFrame:
+    """Pairs (p, b) of one member of each bucket, another one each turn, with its members of other classes."""
+    by = F.xxhash64("h", F.lit(turn)) if turn else F.lit(0).cast("long")
+    centres = now.groupBy("h").agg(F.min(F.struct(F.col("rep").bitwiseXOR(by).alias("r"), "rep", "root")).alias("x")).select("h", F.col("x.rep").alias("q"), F.col("x.root").alias("q_root"))
+    pairs = now.join(centres, "h").filter("root <> q_root")
+    return pairs.select(F.least("rep", "q").alias("p"), F.greatest("rep", "q").alias("b")).distinct()
+
+
+def crossed(now: DataFrame) -> DataFrame:
+    """All pairs (p, b) of members of different classes in buckets of at most SMALL members."""
+    few = now.filter(F.col("m") <= SMALL)
+    pairs = few.select("h", F.col("rep").alias("p"), F.col("root").alias("u")).join(few.select("h", F.col("rep").alias("b"), F.col("root").alias("v")), "h")
+    return pairs.filter("p < b and u <> v").select("p", "b").distinct()
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For docs (id, text): each row's id and content key; and of each key the class and its number of rows.
 
-    Copies are one node, named by their smallest id. In each bucket of each band, members are compared with the
-    member of the smallest id; links are those of similarity SIMILAR or more. Then, in buckets whose members ended up
-    in several classes, a member whose class isn't that of the bucket's first is compared with the bucket's members of
-    other classes, but for pairs whose distances to the first differ by more than 1 - SIMILAR, which the triangle
-    inequality rules out. So no link between members of a bucket is lost, without comparing all its pairs."""
+    Copies are one node, named by their smallest id. The nodes that share a band are a bucket. Links are pairs of
+    similarity SIMILAR or more, found in turns: in each, one member of each bucket is compared with the bucket's
+    members of other classes, and classes that a link connects become one. Turns go on until one finds no link; in
+    buckets of at most SMALL members, what is still apart is then compared pair by pair. So the work grows with the
+    bucket and not with its square, and members of a class aren't compared once they are known to be in it."""
     signed = written(map_rows(docs, _signed, "id long, key binary, bands array<long>"), "signatures")
     nodes = written(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "nodes")
-    placed = nodes.filter("rep is not null and bands is not null").select("rep", F.explode("bands").alias("h"))
-    firsts = written(placed.groupBy("h").agg(F.min("rep").alias("p"), F.count("*").alias("m")).filter("m > 1"), "firsts")
-    total = nodes.count() * BANDS
-    members = join_by_hash(placed, firsts, "h", "m", total, F.col("rep")).filter("m is not null")
-    members = written(members.select("h", "rep", "p", "m"), "members")
-    pairs = written(members.filter("rep <> p").select("p", F.col("rep").alias("b")).distinct(), "pairs")
-    sims = verify(pairs, docs, "first")
-    links = sims.filter(F.col("sim") >= SIMILAR).select(F.col("p").alias("u"), F.col("b").alias("v"))
-    roots = components(links)
-    # Members apart from their bucket's first, in buckets of three or more.
-    far = sims.filter(F.col("sim") < SIMILAR)
-    apart = members.filter("m > 2").join(far.withColumnRenamed("b", "rep"), ["p", "rep"])
-    root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
-    apart = apart.join(root("rep", "root_b"), "rep", "left").join(root("p", "root_p"), "p", "left")
-    apart = apart.filter(~F.coalesce("root_b", "rep").eqNullSafe(F.coalesce("root_p", "p"))).select("h", "p", F.col("rep").alias("b"), F.col("sim").alias("sim_b"), F.coalesce("root_b", "rep").alias("root_b"))
-    apart = written(apart, "apart")
-    if not apart.isEmpty():
-        others = members.join(apart.select("h").distinct(), "h", "left_semi").filter("rep <> p")
-        others = others.join(sims.withColumnRenamed("b", "rep"), ["p", "rep"]).join(root("rep", "root_a"), "rep", "left").select("h", F.col("rep").alias("a"), F.col("sim").alias("sim_a"), F.coalesce("root_a", "rep").alias("root_a"))
-        cross = apart.join(others, "h").filter((F.col("root_a") != F.col("root_b")) & (F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - SIMILAR + 1e-9) & (F.col("a") != F.col("b")))
-        cross = cross.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("b")).distinct()
-        more = verify(written(cross, "cross"), docs, "second").filter(F.col("sim") >= SIMILAR).select(F.col("p").alias("u"), F.col("b").alias("v"))
-        if not more.isEmpty():
-            roots = components(links.unionAll(more))
-    named = nodes.select("key", "rep", "n").join(root("rep", "root"), "rep", "left")
+    placed = nodes.filter("rep is not null and bands is not null").select("rep", F.explode("bands").alias("h")).distinct()
+    firsts = written(placed.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "firsts")
+    members = written(join_by_hash(placed, firsts, "h", "m", nodes.count() * BANDS, F.col("rep")).filter("m is not null").select("h", "rep", "m"), "members")
+    roots = written(members.select(F.col("rep").alias("node"), F.col("rep").alias("root")).distinct(), "roots")
+    seen = texts = None
+    turn, last = 0, False
+    while True:
+        now = mixed(members, roots)
+        pairs = crossed(now) if last else starred(now, turn)
+        pairs = written(pairs if seen is None else pairs.join(seen, ["p", "b"], "left_anti"), "pairs")
+        if texts is None:
+            texts = texts_of(members.select(F.col("rep").alias("p"), F.col("rep").alias("b")), docs)
+        sims = verify(pairs, texts)
+        links = sims.filter(F.col("sim") >= SIMILAR)
+        found = not links.isEmpty()
+        if found:
+            roots = merged(roots, links)
+        if last:
+            break
+        seen = sims.select("p", "b") if seen is None else seen.unionAll(sims.select("p", "b"))
+        turn, last = turn + 1, not found
+    named = nodes.select("key", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return signed.select("id", "key"), written(named.select("key", F.coalesce("root", "rep").alias("class_id"), "n"), "classes")
 
 
