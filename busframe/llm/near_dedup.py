@@ -214,23 +214,25 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """h, m, rep and root of the members of those buckets that have more than one class; written."""
-    tagged = members.join(roots.withColumnRenamed("node", "rep"), "rep").select("h", "m", "rep", "root")
+    tagged = members.select("h", "m", "rep").join(roots.withColumnRenamed("node", "rep"), "rep").select("h", "m", "rep", "root")
     several = tagged.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
     return written(tagged.join(several, "h", "left_semi"), "mixed")
 
 
 def starred(now: DataFrame, turn: int) -> DataFrame:
-    """Pairs (p, b) of one member of each bucket, another one each turn, with its members of other classes."""
+    """Pairs (p, b) of centres of each bucket with its members of other classes: at first the member of the smallest
+    id is the centre, then two others each turn."""
     by = F.xxhash64("h", F.lit(turn)) if turn else F.lit(0).cast("long")
-    centres = now.groupBy("h").agg(F.min(F.struct(F.col("rep").bitwiseXOR(by).alias("r"), "rep", "root")).alias("x")).select("h", F.col("x.rep").alias("q"), F.col("x.root").alias("q_root"))
+    one = F.struct(F.col("rep").bitwiseXOR(by).alias("r"), "rep", "root")
+    centres = now.groupBy("h").agg(F.array(F.min(one), F.max(one)).alias("x") if turn else F.array(F.min(one)).alias("x"))
+    centres = centres.select("h", F.explode("x").alias("x")).select("h", F.col("x.rep").alias("q"), F.col("x.root").alias("q_root"))
     pairs = now.join(centres, "h").filter("root <> q_root")
     return pairs.select(F.least("rep", "q").alias("p"), F.greatest("rep", "q").alias("b")).distinct()
 
 
 def crossed(now: DataFrame) -> DataFrame:
-    """All pairs (p, b) of members of different classes in buckets of at most SMALL members."""
-    few = now.filter(F.col("m") <= SMALL)
-    pairs = few.select("h", F.col("rep").alias("p"), F.col("root").alias("u")).join(few.select("h", F.col("rep").alias("b"), F.col("root").alias("v")), "h")
+    """All pairs (p, b) of members of different classes in buckets that have few."""
+    pairs = now.select("h", F.col("rep").alias("p"), F.col("root").alias("u")).join(now.select("h", F.col("rep").alias("b"), F.col("root").alias("v")), "h")
     return pairs.filter("p < b and u <> v").select("p", "b").distinct()
 
 
@@ -238,7 +240,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For docs (id, text): each row's id and content key; and of each key the class and its number of rows.
 
     Copies are one node, named by their smallest id. The nodes that share a band are a bucket. Links are pairs of
-    similarity SIMILAR or more, found in turns: in each, one member of each bucket is compared with the bucket's
+    similarity SIMILAR or more, found in turns: in each, one or two members of each bucket are compared with the bucket's
     members of other classes, and classes that a link connects become one. Turns go on until one finds no link; in
     buckets of at most SMALL members, what is still apart is then compared pair by pair. So the work grows with the
     bucket and not with its square, and members of a class aren't compared once they are known to be in it."""
@@ -251,7 +253,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = texts = None
     turn, last = 0, False
     while True:
-        now = mixed(members, roots)
+        # Buckets of at most SMALL members have one turn and then wait for the last one.
+        if last:
+            now = mixed(members.filter(F.col("m") <= SMALL), roots)
+        elif turn:
+            now = mixed(now if turn > 1 else members.filter(F.col("m") > SMALL), roots)
+        else:
+            now = members.withColumn("root", F.col("rep"))
         pairs = crossed(now) if last else starred(now, turn)
         pairs = written(pairs if seen is None else pairs.join(seen, ["p", "b"], "left_anti"), "pairs")
         if texts is None:
