@@ -19,6 +19,9 @@ PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ƺ‘’“”–—…€
 FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 EXACT = regex.compile(public_tokenizers.PATTERN)
 WHITE = re.compile(r"\s")
+#: The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+ALPHABET = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
 class ByteIds:
@@ -28,6 +31,7 @@ class ByteIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.bare: dict[str, bytes | None] = {}
         self.spaced: dict[str, bytes | None] = {}
         self.sizes: dict[str, int] = {}
@@ -37,11 +41,18 @@ class ByteIds:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def pack_letters(self, text: str) -> bytes:
+        """The same for letters with at most one space in front, which are one pre-token and go straight to the model."""
+        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, held: dict, word: str, front: str) -> bytes | None:
         if len(held) >= CACHE:
             held.clear()
         stem = word.rstrip(MARKS)
-        if stem != word and stem.isalpha():
+        if word.isalpha():
+            out = self.pack_letters(front + word)
+        elif stem.isalpha():
             first = held[stem] if stem in held else self._word(held, stem, front)
             tail = word[len(stem) :]
             out = first + (self.bare[tail] if tail in self.bare else self._word(self.bare, tail, ""))
