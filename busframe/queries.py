@@ -1,7 +1,193 @@
-"""The registered queries."""
+"""The registered queries: operators over words made of the tables by integer arithmetic, with the same in SQL."""
 
-QUERIES = {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from busframe.functions import words as W
+from busframe.operators import classify as C
+from busframe.operators import streams as S
+
+
+@dataclass(frozen=True)
+class Query:
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None = None
+
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = Query(f, sql)
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", (F.col("event_id") % 3).cast("int").alias("file_idx"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000).alias("us"), (F.col("user_id") % 32).cast("int").alias("rt"), (F.col("event_id") % 32).cast("int").alias("sa"), (F.floor(F.col("event_id") / 32) % 2).cast("int").alias("dir"), (F.col("event_type") == "error").alias("is_err"))
+
+
+EVENTS = "(select event_id, cast(event_id % 3 as int) file_idx, event_id seq, epoch_us(ts) - 1704067200000000 us, cast(user_id % 32 as int) rt, cast(event_id % 32 as int) sa, cast((event_id // 32) % 2 as int) dir, event_type = 'error' is_err from events)"
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    u = lambda a, b: ((F.col("l_orderkey") * a + F.col("l_linenumber") * b) % 65536).cast("int")
+    return x.select("l_orderkey", "l_linenumber", u(31, 1).alias("u"), u(77, 13).alias("v"), u(191, 7).alias("x"))
+
+
+LINES = "(select l_orderkey, l_linenumber, cast((l_orderkey * 31 + l_linenumber) % 65536 as int) u, cast((l_orderkey * 77 + l_linenumber * 13) % 65536 as int) v, cast((l_orderkey * 191 + l_linenumber * 7) % 65536 as int) x from lineitem)"
+IRIG = "select *, (u >> 5) & 511 as day_, u & 31 as hour_, (v >> 10) & 63 minute_, (v >> 4) & 63 second_, ((v & 15) << 16) | x micros_, ((u >> 15) & 1) = 1 freerun_ from " + LINES
+FORMAT = "case t when 2 then 'RECEIVE' when 4 then 'TRANSMIT' when 8 then 'RT_TO_RT' when 16 then 'RECEIVE_BROADCAST' when 24 then 'RT_TO_RT_BROADCAST' when 32 then 'SPURIOUS_DATA' else case when rt = 31 and wc >= 6 then 'MODE_CODE_BCAST_DATA' when rt = 31 then 'MODE_CODE_BCAST_NO_DATA' when wc < 7 then 'MODE_CODE_NO_DATA' when dir = 1 then 'MODE_CODE_TX_DATA' else 'MODE_CODE_RX_DATA' end end"
+RECORDS = f"(select *, {FORMAT} fmt from (select l_orderkey, l_linenumber, u, v, [1, 2, 4, 8, 16, 24, 32][l_linenumber] t, (v >> 8) & 63 wc, u >> 11 rt, (u >> 10) & 1 dir, case when u & 31 = 0 then 32 else u & 31 end n from {LINES}))"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    df = lines(spark, d)
+    c = W.command_word(F.col("u"))
+    kinds = F.array(*[F.lit(t) for t in W.MESSAGE_TYPES])
+    df = df.select("l_orderkey", "l_linenumber", "u", "v", F.get(kinds, F.col("l_linenumber").cast("int") - 1).alias("t"), W.bits(F.col("v"), 8, 6).alias("wc"), c["rt"].alias("rt"), c["dir"].alias("dir"), c["n"].alias("n"))
+    return df.withColumn("fmt", C.message_format(F.col("t"), F.col("rt"), F.col("dir"), F.col("wc"), F.lit(3)))
+
+
+@query(f"select l_orderkey, l_linenumber, u & 127 msg_type, (u >> 7) & 1 bus, (u >> 8) & 63 word_count, (u >> 14) & 1 = 1 is_err, (u >> 15) & 1 = 1 reserved from {LINES}")
+def type_word_decode(spark, d):
+    return lines(spark, d).select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in W.type_word(F.col("u")).items()])
+
+
+@query(f"select l_orderkey, l_linenumber, u >> 11 rt, (u >> 10) & 1 dir, (u >> 5) & 31 sa, case when u & 31 = 0 then 32 else u & 31 end n, u >> 11 = 31 broadcast, (u >> 5) & 31 in (0, 31) mode_code from {LINES}")
+def command_word_decode(spark, d):
+    return lines(spark, d).select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in W.command_word(F.col("u")).items()])
+
+
+@query(f"select l_orderkey, l_linenumber, (cast(day_ * 86400 + hour_ * 3600 + minute_ * 60 + second_ as bigint)) * 1000000 + micros_ us, freerun_ freerun, printf('%d:%02d:%02d:%02d.%06d', day_, hour_, minute_, second_, micros_ % 1000000) time_stamp from ({IRIG})")
+def irig_decode(spark, d):
+    t = W.irig(F.col("u"), F.col("v"), F.col("x"))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", W.irig_us(t).alias("us"), t["freerun"].alias("freerun"), W.irig_text(t).alias("time_stamp"))
+
+
+@query(f"select l_orderkey, l_linenumber, printf('0x%08X', cast(u as bigint) * 65536 + v) time_stamp from {LINES}")
+def standard_text(spark, d):
+    return lines(spark, d).select("l_orderkey", "l_linenumber", W.standard_text(F.shiftleft(F.col("u").cast("long"), 16).bitwiseOR(F.col("v").cast("long"))).alias("time_stamp"))
+
+
+@query(f"select l_orderkey, l_linenumber, fmt from {RECORDS}")
+def format_classify(spark, d):
+    return records(spark, d).select("l_orderkey", "l_linenumber", "fmt")
+
+
+@query(f"""select l_orderkey, l_linenumber, case when fmt = 'RECEIVE' and dir = 1 then 'DIRECTION_NOT_RECEIVE' when fmt = 'TRANSMIT' and dir = 0 then 'DIRECTION_NOT_TRANSMIT'
+when fmt <> 'SPURIOUS_DATA' and wc < 5 + case fmt when 'RECEIVE' then n + 1 when 'TRANSMIT' then n + 1 when 'RT_TO_RT' then n + 3 when 'RECEIVE_BROADCAST' then n when 'RT_TO_RT_BROADCAST' then n + 2
+when 'MODE_CODE_TX_DATA' then 2 when 'MODE_CODE_RX_DATA' then 2 when 'MODE_CODE_NO_DATA' then 1 when 'MODE_CODE_BCAST_DATA' then 1 else 0 end then 'CAPACITY' end reason from {RECORDS}""")
+def invariant_reject(spark, d):
+    return records(spark, d).select("l_orderkey", "l_linenumber", C.reject_reason(F.col("fmt"), F.col("dir"), F.col("n"), F.col("wc"), F.lit(3)).alias("reason"))
+
+
+@query(f"""select l_orderkey, l_linenumber, case when u & 127 not in (1, 2, 4, 8, 16, 24, 32) then 'UNKNOWN_TYPE' when (u >> 8) & 63 < 5 then 'WORD_COUNT' when hour_ >= 24 then 'HOUR' when minute_ >= 60 then 'MINUTE'
+when second_ >= 60 then 'SECOND' when micros_ > 999999 then 'MICROS' when not freerun_ and (day_ < 1 or day_ > 366) then 'DAY' end reason from ({IRIG})""")
+def validate_reason(spark, d):
+    t, tw = W.irig(F.col("u"), F.col("v"), F.col("x")), W.type_word(F.col("u"))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", C.invalid_reason(t, tw["msg_type"], tw["word_count"], F.lit(0), F.lit(1 << 20), 5).alias("reason"))
+
+
+@query(f"""select l_orderkey, irig, standard, case when greatest(irig, standard) < 4 or abs(irig - standard) < 3 then 'AMBIGUOUS' when greatest(irig, standard) >= 8 and abs(irig - standard) >= 6 then 'DECISIVE' else 'MARGINAL' end confidence
+from (select l_orderkey, cast(sum(u % 6) as bigint) irig, cast(sum(v % 5) as bigint) standard from {LINES} group by 1)""")
+def probe_confidence(spark, d):
+    g = lines(spark, d).groupBy("l_orderkey").agg(F.sum(F.col("u") % 6).alias("irig"), F.sum(F.col("v") % 5).alias("standard"))
+    return g.withColumn("confidence", C.confidence(F.col("irig"), F.col("standard")))
+
+
+KEYS = "rt, sa, dir"
+
+
+@query(f"select event_id, case when b is null then 0 when us >= b then us - b end delta_us from (select *, lag(us) over (partition by file_idx, {KEYS} order by seq) b from {EVENTS})")
+def delta_per_file(spark, d):
+    return S.delta_per_file(events(spark, d)).select("event_id", "delta_us")
+
+
+MERGED = f"(select *, max(us) over (partition by file_idx order by seq rows unbounded preceding) run_max from {EVENTS})"
+
+
+@query(f"select event_id, case when b is null then 0 when us >= b then us - b end delta_us from (select *, lag(us) over (partition by {KEYS} order by run_max, file_idx, seq) b from {MERGED})")
+def delta_global(spark, d):
+    return S.delta_global(events(spark, d)).select("event_id", "delta_us")
+
+
+@query(f"select file_idx, {KEYS}, min(seq) first_seq, count(*) steps from (select *, lag(us) over (partition by file_idx, {KEYS} order by seq) b from {EVENTS}) where us < b group by all")
+def delta_backward(spark, d):
+    return S.backward_steps(events(spark, d))
+
+
+@query(f"select event_id, run_max from {MERGED}")
+def merge_order(spark, d):
+    return S.merge_key(events(spark, d)).select("event_id", "run_max")
+
+
+@query(f"select event_id from (select *, min(file_idx) over (partition by us // 60000000, {KEYS}) f from {EVENTS}) where f = file_idx")
+def collapse_exact(spark, d):
+    e = events(spark, d).withColumn("us", F.floor(F.col("us") / 60000000))
+    return S.collapse_exact(e, list(S.KEY)).select("event_id")
+
+
+@query(f"select event_id, case when sa % 4 = 0 then case when coalesce(lag(is_err and sa % 4 <> 0) over (partition by file_idx order by seq), false) then '2000' else '2001' end end code from {EVENTS}")
+def spurious_code(spark, d):
+    e = events(spark, d).withColumns({"spurious": F.col("sa") % 4 == 0, "epoch": F.lit(0)})
+    return S.spurious_code(e).select("event_id", "code")
+
+
+@query(f"select event_id from {EVENTS} where not (rt in (1, 2, 31) or sa in (0, 31))")
+def filter_exclude(spark, d):
+    return S.keep_messages(events(spark, d), exclude={"rt": [1, 2, 31], "sa": [0, 31]}).select("event_id")
+
+
+@query(f"select event_id from {EVENTS} where rt in (3, 4, 5, 6) and dir = 1 and not sa in (7)")
+def filter_include(spark, d):
+    return S.keep_messages(events(spark, d), {"sa": [7]}, {"rt": [3, 4, 5, 6], "dir": [1]}).select("event_id")
+
+
+def _canonical(cap: int) -> str:
+    key = lambda c: f"case when f then -1 else coalesce(a.{c}, -1) end"
+    return f"""with e as (select event_id pos, us // 3600000000 us, case when is_err then null else rt end rt, sa, dir from {EVENTS}),
+c as (select *, (row_number() over (partition by us order by pos) - 1) // {cap} chunk from e),
+g as (select *, count(*) over (partition by us, chunk) = {cap} f, last_value(case when rt is not null then struct_pack(rt := rt, sa := sa, dir := dir, pos := pos) end ignore nulls) over (partition by us, chunk order by pos rows unbounded preceding) a from c)
+select pos, cast(chunk as bigint) chunk, cast(row_number() over (partition by us, chunk order by {key('rt')}, {key('sa')}, {key('dir')}, {key('pos')}, pos) as int) place from g"""
+
+
+def _tied(spark, d):
+    return events(spark, d).select(F.col("event_id").alias("pos"), F.floor(F.col("us") / 3600000000).alias("us"), F.when(~F.col("is_err"), F.col("rt")).alias("rt"), "sa", "dir")
+
+
+@query(_canonical(4096))
+def canonical_order(spark, d):
+    return S.canonical_order(_tied(spark, d)).select("pos", "chunk", "place")
+
+
+@query(_canonical(5))
+def canonical_order_capped(spark, d):
+    return S.canonical_order(_tied(spark, d), 5).select("pos", "chunk", "place")
+
+
+@query("select page_id, nullif(trim(split_part(url, '/', 4)), '') mux from pages")
+def mux_field(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", W.mux(F.col("url"), "/", 3).alias("mux"))
+
+
+@query(f"select count(*) n_messages, count(*) filter (where is_err) n_errors from {EVENTS}")
+def record_count(spark, d):
+    return events(spark, d).agg(F.count("*").alias("n_messages"), F.count_if("is_err").alias("n_errors"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The recorders of the events table merged, without duplicates, with gaps and in canonical order."""
+    e = S.merge_key(S.collapse_exact(S.delta_per_file(events(spark, d)), list(S.KEY)))
+    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("run_max").orderBy("file_idx", "seq")))
+    out = S.canonical_order(e)
+    return out.select("run_max", "place", "file_idx", "event_id", "rt", W.message_label(F.col("sa"), F.col("dir")).alias("msg"), W.delta_text(F.col("delta_us")).alias("delta"), W.error_label(F.col("is_err"), F.lit("")).alias("error"))
