@@ -247,7 +247,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = written(map_rows(docs, _signed, "id long, key binary, bands array<long>"), "signatures")
     nodes = written(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "nodes")
     placed = nodes.filter("rep is not null and bands is not null").select("rep", F.explode("bands").alias("h")).distinct()
-    firsts = written(placed.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "firsts")
+    # Buckets of the same members, as bands of very similar texts make them, are one: their pairs are the same.
+    own = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    buckets = placed.groupBy("h").agg(F.count("*").alias("m"), *own).filter("m > 1")
+    firsts = written(buckets.groupBy("m", "x0", "x1").agg(F.min("h").alias("h")).select("h", "m"), "firsts")
     members = written(join_by_hash(placed, firsts, "h", "m", nodes.count() * BANDS, F.col("rep")).filter("m is not null").select("h", "rep", "m"), "members")
     roots = written(members.select(F.col("rep").alias("node"), F.col("rep").alias("root")).distinct(), "roots")
     seen = texts = None
