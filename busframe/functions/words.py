@@ -60,7 +60,7 @@ def error_label(is_err: Column, fmt: Column) -> Column:
 
 def delta_text(delta_us: Column) -> Column:
     whole = F.floor(delta_us / 1_000_000).cast("long")
-    return F.when(delta_us.isNull(), "").otherwise(F.format_string("%d.%06d", whole, delta_us % 1_000_000))
+    return F.when(delta_us.isNull(), "").otherwise(F.format_string("%d.%06d", whole, (delta_us % 1_000_000).cast("long")))
 
 
 def mux(name: Column, delimiter: str = ".", field: int = 4) -> Column:

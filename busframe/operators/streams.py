@@ -76,3 +76,113 @@ def canonical_order(df: DataFrame, cap: int = 4096) -> DataFrame:
     low = lambda c: F.when(F.col("full"), -1).otherwise(F.coalesce(F.col(f"anchor.{c}"), F.lit(-1)))
     order = chunk.orderBy(*[low(c) for c in KEY], F.when(F.col("full"), -1).otherwise(F.coalesce(F.col("anchor.pos"), F.lit(-1))), "pos")
     return df.withColumn("place", F.row_number().over(order)).drop("anchor", "full")
+
+
+def positions(df: DataFrame, span: int = 60_000_000) -> DataFrame:
+    """pos: the place in merge order, from 0. Rows are numbered in spans of time, and spans by a table of their counts."""
+    df = merge_key(df).withColumn("span", F.floor(F.col("run_max") / span).cast("long"))
+    inside = F.row_number().over(Window.partitionBy("span").orderBy("run_max", "file_idx", "seq"))
+    counts = df.groupBy("span").agg(F.count("*").alias("k"))
+    ahead = counts.select("span", F.coalesce(F.sum("k").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return df.withColumn("inside", inside).join(ahead, "span").withColumn("pos", F.col("ahead") + F.col("inside") - 1).drop("span", "inside", "ahead")
+
+
+def carried_lag(df: DataFrame, keys: list[str], order: str, value: str, block: int = 1 << 20) -> DataFrame:
+    """before: the value of the row before in its keys. Keys and value are not null; order is a long. A key is cut into
+    blocks of order, so none is too large for a task; the last value of each block is carried by a small table."""
+    df = df.withColumn("block", F.floor(F.col(order) / block).cast("long"))
+    ends = df.groupBy(*keys, "block").agg(F.max_by(value, order).alias("end"))
+    over = Window.partitionBy(*keys).orderBy("block") if keys else Window.orderBy("block")
+    ends = ends.withColumn("carried", F.lag("end").over(over)).drop("end")
+    inside = F.lag(value).over(Window.partitionBy(*keys, "block").orderBy(order))
+    return df.withColumn("inside", inside).join(ends, [*keys, "block"]).withColumn("before", F.coalesce("inside", "carried")).drop("block", "inside", "carried")
+
+
+def runs(df: DataFrame, group: str = "us", block: int = 1 << 20) -> DataFrame:
+    """run: the number of the run of consecutive equal values of group that a row of a stream (pos) is in."""
+    df = carried_lag(df, [], "pos", group, block)
+    df = df.withColumn("step", F.coalesce((F.col("before") != F.col(group)).cast("long"), F.lit(0))).withColumn("block", F.floor(F.col("pos") / block).cast("long"))
+    sums = df.groupBy("block").agg(F.sum("step").alias("s"))
+    sums = sums.select("block", F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    upto = F.sum("step").over(Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("upto", upto).join(sums, "block").withColumn("run", F.col("base") + F.col("upto")).drop("block", "base", "upto", "step", "before")
+
+
+def canonical_order_any(df: DataFrame, cap: int = 4096, block: int = 1 << 20) -> DataFrame:
+    """canonical_order of a stream (pos, us not null) that may step backward: runs take the part of timestamps.
+
+    Ordering by run, chunk, place is the order of the output."""
+    df = runs(df, "us", block).withColumnsRenamed({"us": "own_us", "run": "us"})
+    return canonical_order(df, cap).withColumnsRenamed({"us": "run", "own_us": "us"})
+
+
+def collapse_window(df: DataFrame, content: list[str], window_us: int) -> DataFrame:
+    """Without messages that repeat, at most window_us apart, the content of a kept message of another file.
+
+    Rows go through in merge order, past a queue of the kept ones of the last window_us: sorted by content where no
+    file steps backward, else (where what is forgotten depends on all rows between) as one stream in one task. Either
+    way a task holds one window."""
+    df = merge_key(df).withColumn("wire", F.to_json(F.struct(*content)))
+    steady = df.filter("us < run_max").isEmpty()
+    order = ["run_max", "file_idx", "seq"]
+    df = df.repartition("wire").sortWithinPartitions("wire", *order) if steady else df.repartition(1).sortWithinPartitions(*order)
+
+    def kept(batches):
+        from collections import defaultdict, deque
+
+        import pyarrow as pa
+
+        queue, of, at = deque(), defaultdict(deque), None
+        for batch in batches:
+            mask = []
+            for us, file, wire in zip(*(batch.column(c).to_pylist() for c in ("us", "file_idx", "wire")), strict=True):
+                if steady and wire != at:
+                    queue.clear(), of.clear()
+                    at = wire
+                while queue and us - queue[0][0] > window_us:
+                    gone = queue.popleft()[1]
+                    of[gone].popleft()
+                    if not of[gone]:
+                        del of[gone]
+                mask.append(not any(f != file and abs(u - us) <= window_us for u, f in of.get(wire, ())))
+                if mask[-1]:
+                    queue.append((us, wire))
+                    of[wire].append((us, file))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(kept, df.schema).drop("wire")
+
+
+def file_backward(df: DataFrame) -> DataFrame:
+    """Of each file that steps backward the first message that does, and the time before it."""
+    df = df.withColumn("before", F.lag("us").over(Window.partitionBy("file_idx").orderBy("seq"))).filter("us < before")
+    return df.groupBy("file_idx").agg(F.min(F.struct("seq", "before", "us")).alias("x")).select("file_idx", "x.seq", "x.before", "x.us")
+
+
+RULES = {
+    "rt_msg": ("rt", "sa", "dir"), "rt_sa": ("rt", "sa"), "rt": ("rt",), "rt_msg_bus": ("rt", "sa", "dir", "bus"), "msg": ("sa", "dir"), "bus": ("bus",), "any": (),
+}
+UNITS = {"seconds": 1e6, "milliseconds": 1e3, "microseconds": 1.0}
+
+
+def delta_rules(df: DataFrame, decimals: int = 6, block: int = 1 << 20) -> DataFrame:
+    """How well each rule for a gap explains the column actual of a stream (pos, us, rt, sa, dir, bus): rule, unit, first
+    (what a key's first message shows), matched and comparable. A message without clock or key should show nothing."""
+    # Joining by || and not concat_ws: a missing part makes the key missing.
+    key = lambda cols: F.concat(F.lit("k"), *[F.concat(F.lit(":"), F.col(c).cast("string")) for c in cols])
+    wide = df.select("pos", "us", F.trim(F.coalesce("actual", F.lit(""))).alias("actual"), F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), key(cols).alias("key")) for name, cols in RULES.items()])).alias("r"))
+    wide = wide.select("pos", "us", "actual", "r.rule", "r.key")
+    takes = F.col("us").isNotNull() & F.col("key").isNotNull()
+    part = carried_lag(wide.filter(takes), ["rule", "key"], "pos", "us", block).select("rule", "actual", "us", "before", F.lit(True).alias("takes"))
+    none = wide.filter(~takes).select("rule", "actual", "us", F.lit(None).cast("long").alias("before"), F.lit(False).alias("takes"))
+
+    def hit(divisor: float, first: str) -> Column:
+        gap = F.format_string(f"%.{decimals}f", (F.col("us") - F.col("before")).cast("double") / divisor)
+        start = F.format_string(f"%.{decimals}f", F.lit(0.0)) if first == "zero" else F.lit("")
+        want = F.when(~F.col("takes"), "").when(F.col("before").isNull(), start).when(F.col("us") >= F.col("before"), gap).otherwise("")
+        return F.count_if(want == F.col("actual"))
+
+    kinds = [(u, f) for u in UNITS for f in ("zero", "empty")]
+    sums = part.unionByName(none).groupBy("rule").agg(F.count("*").alias("comparable"), *[hit(UNITS[u], f).alias(f"{u}_{f}") for u, f in kinds])
+    each = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(f).alias("first"), F.col(f"{u}_{f}").alias("matched")) for u, f in kinds]))
+    return sums.select("rule", "comparable", each.alias("x")).select("rule", "x.unit", "x.first", "x.matched", "comparable")

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from busframe.functions import dump as D
 from busframe.functions import words as W
 from busframe.operators import classify as C
+from busframe.operators import messages as M
 from busframe.operators import streams as S
 
 
@@ -185,6 +187,81 @@ def record_count(spark, d):
     return events(spark, d).agg(F.count("*").alias("n_messages"), F.count_if("is_err").alias("n_errors"))
 
 
+@query(f"select event_id, row_number() over (order by run_max, file_idx, seq) - 1 pos from {MERGED}")
+def merge_position(spark, d):
+    return S.positions(events(spark, d), 3_600_000_000).select("event_id", "pos")
+
+
+STEPPING = f"(select event_id, file_idx, seq, us + (event_id % 7) * 7200000000 us from {EVENTS})"
+
+
+@query(f"select file_idx, min(seq) seq, min_by(b, seq) before, min_by(us, seq) us from (select *, lag(us) over (partition by file_idx order by seq) b from {STEPPING}) where us < b group by 1")
+def monotonic_check(spark, d):
+    return S.file_backward(events(spark, d).withColumn("us", F.col("us") + (F.col("event_id") % 7) * 7200000000))
+
+
+def _back(spark, d):
+    """The events as one stream in which time steps backward."""
+    e = events(spark, d)
+    return e.select(F.col("event_id").alias("pos"), F.floor((F.col("us") + (F.col("event_id") % 7) * 7200000000) / 3600000000).alias("us"), F.when(~F.col("is_err"), F.col("rt")).alias("rt"), "sa", "dir", F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("bus"))
+
+
+BACK = f"(select event_id pos, (us + (event_id % 7) * 7200000000) // 3600000000 us, case when is_err then null else rt end rt, sa, dir, case when event_id % 2 = 0 then 'A' else 'B' end bus from {EVENTS})"
+
+
+@query(f"select pos, cast(sum(step) over (order by pos rows unbounded preceding) as bigint) run from (select *, case when us <> lag(us) over (order by pos) then 1 else 0 end step from {BACK})")
+def tie_runs(spark, d):
+    return S.runs(_back(spark, d), "us", 4096).select("pos", "run")
+
+
+RANKED = " union all ".join(
+    f"select '{name}' rule, actual, us, {'coalesce(' + ' || '.join(f'cast({c} as varchar)' for c in cols) + ') is not null' if cols else 'true'} takes, lag(us) over (partition by {', '.join(cols) if cols else '1'} order by pos) b from g" for name, cols in S.RULES.items()
+)
+KINDS = [(u, x, f) for u, x in S.UNITS.items() for f in ("zero", "empty")]
+
+
+@query(f"""with g as (select *, case when rt is null then '' when b0 is null then '0.000000' when us >= b0 then printf('%.6f', cast(us - b0 as double) / 1e6) else '' end actual from (select *, lag(us) over (partition by rt, sa, dir order by pos) b0 from {BACK})),
+r as ({RANKED}) """ + " union all ".join(f"select rule, '{u}' unit, '{f}' as \"first\", count(*) filter (where actual = case when not takes then '' when b is null then '{'0.000000' if f == 'zero' else ''}' when us >= b then printf('%.6f', cast(us - b as double) / {x!r}) else '' end) matched, count(*) comparable from r group by 1" for u, x, f in KINDS))
+def delta_rule_rank(spark, d):
+    g = _back(spark, d)
+    w = Window.partitionBy("rt", "sa", "dir").orderBy("pos")
+    gap = F.col("us") - F.lag("us").over(w)
+    actual = F.when(F.col("rt").isNull(), "").when(gap.isNull(), "0.000000").when(gap >= 0, F.format_string("%.6f", gap.cast("double") / 1e6)).otherwise("")
+    return S.delta_rules(g.withColumn("actual", actual), 6, 4096)
+
+
+def collapse_window(spark, d):
+    """Greedy, so without SQL; tests hold it against a plain loop."""
+    return S.collapse_window(events(spark, d), ["sa", "dir"], 600_000_000).select("event_id")
+
+
+QUERIES["collapse_window"] = Query(collapse_window)
+
+PARTS = "(select doc_id, octet_length(encode(text)) n, hex(encode(text)) h from documents)"
+
+
+@query(f"""select doc_id, \"at\", '  ' || printf('%08X', \"at\") || '  ' || rpad(rtrim(regexp_replace(p, '(..)', '\\1 ', 'g')), 48, ' ') || '  |' || array_to_string(list_transform(range(0, length(p) // 2), lambda i: case when substr(p, 2 * i + 1, 2) between '20' and '7E' then chr(cast('0x' || substr(p, 2 * i + 1, 2) as int)) else '.' end), '') || '|' line
+from (select doc_id, \"at\", substr(h, 2 * \"at\" + 1, 32) p from (select doc_id, h, unnest(range(0, n, 16)) \"at\" from {PARTS}))""")
+def hexdump_lines(spark, d):
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("data"))
+    x = x.select("doc_id", F.explode(D.chunks(F.col("data"), *D.window(F.col("data")))).alias("c"))
+    return x.select("doc_id", F.col("c.at").alias("at"), D.hex_line(F.col("c.at"), F.col("c.part")).alias("line"))
+
+
+WORDS = ["u", "v", "x"]
+
+
+@query(f"""select l_orderkey, l_linenumber, printf('%d:%02d:%02d:%02d.%06d', day_, hour_, minute_, second_, micros_ % 1000000) || ',' || (u >> 11) || ',' || ((u >> 5) & 31) || case when (u >> 10) & 1 = 1 then 'T' else 'R' end || ','
+|| printf('%04X,%04X,%04X', u, v, x) || repeat(',', 30) || printf('%04X,%04X', x, u) || ',' || case when x % 5 = 0 then '\"a,' || x || '\"' else '' end || ',,' || case when (v >> 7) & 1 = 0 then 'A' else 'B' end || ',' || printf('%d.%06d', x // 1000, (x % 1000) * 1000) || ',,,,'
+|| case when (v >> 14) & 1 = 1 then 'ERROR' else '' end || ',' || case when (v >> 14) & 1 = 1 then printf('%04X', v) else '' end line from ({IRIG})""")
+def csv_row_46(spark, d):
+    df, t, c = lines(spark, d), W.irig(F.col("u"), F.col("v"), F.col("x")), W.command_word(F.col("u"))
+    err = W.bits(F.col("v"), 14, 1) == 1
+    df = df.select("l_orderkey", "l_linenumber", W.irig_text(t).alias("time_stamp"), c["rt"].alias("rt"), c["sa"].alias("sa"), c["dir"].alias("dir"), F.array(*WORDS).alias("data_words"), F.col("x").alias("status"), F.col("u").alias("cmd"), F.when(F.col("x") % 5 == 0, F.concat(F.lit("a,"), F.col("x").cast("string"))).alias("mux"), W.bits(F.col("v"), 7, 1).alias("bus"), (F.col("x").cast("long") * 1000).alias("delta_us"), err.alias("is_err"), F.lit("RECEIVE").alias("fmt"), F.when(err, W.hex_text(F.col("v"), 4)).otherwise("").alias("error_code"))
+    rows = M.rows46(df, ["l_orderkey", "l_linenumber"])
+    return rows.select("l_orderkey", "l_linenumber", M.csv_line(M.COLUMNS).alias("line"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The recorders of the events table merged, without duplicates, with gaps and in canonical order."""
     e = S.merge_key(S.collapse_exact(S.delta_per_file(events(spark, d)), list(S.KEY)))
