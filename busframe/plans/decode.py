@@ -15,7 +15,7 @@ from busframe.sources.recording import RecordingSource
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run may set; the defaults are those of the recorders' own tool."""
+    """What a run may set."""
 
     time_format: str = "auto"
     detect_records: int = 8
