@@ -16,11 +16,20 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-#: Darts thrown at a set: so many that few coordinates are left empty.
-DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
+#: Further coordinates of the nodes in large buckets that have several classes.
+FINER = 1024
 CACHE = 600_000
-#: In buckets of so many members all pairs of different classes are compared at last.
+#: Buckets of more members have a second turn of centres before their signatures are compared.
 SMALL = 64
+#: In buckets of at most so many members the signatures of different classes are compared at last, in blocks.
+LARGE = 16_384
+BLOCK = 1024
+
+
+def least(n: int) -> int:
+    """So many of n coordinates of a pair of similarity SIMILAR agree at least, but for a chance of about 4e-5."""
+    return math.floor(n * SIMILAR - 4 * math.sqrt(n * SIMILAR * (1 - SIMILAR)))
+
 
 M1, M2, G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -70,20 +79,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def signature(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def signature(elements: np.ndarray, weights: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """DartMinHash: of each coordinate the earliest dart that hits the weighted set.
 
     An element of weight w is a column of height w, cut into cells of height 1. Each cell has its own stream of darts
     with unit rate over time, made of hashes of the cell alone; a dart names a coordinate and a height in its cell,
-    and hits if the height is below the weight. Only the time in which DARTS darts are expected to hit is looked at,
-    and more where a coordinate is still empty. Two sets share a coordinate's dart with the probability of their
+    and hits if the height is below the weight. Only the time in which so many darts are expected to hit that few
+    coordinates stay empty is looked at, and more where one is still empty. Two sets share a coordinate's dart with the probability of their
     weighted Jaccard similarity."""
     layers = np.ceil(weights).astype(np.int64)
     layer = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
     cells = mix(np.repeat(elements, layers) + layer.astype(np.uint64) * G)
     heights = np.repeat(weights, layers) - layer
-    until = DARTS / float(weights.sum())
-    out, empty = np.zeros(COORDINATES, np.uint64), np.ones(COORDINATES, bool)
+    until = coordinates * (math.log(coordinates) + 2) / float(weights.sum())
+    out, empty = np.zeros(coordinates, np.uint64), np.ones(coordinates, bool)
     while empty.any():
         times, places, names = [], [], []
         now, own, top, step = np.zeros(len(cells)), cells, heights, 0
@@ -103,9 +112,9 @@ def signature(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
             alive = hit[:, -1]
             now, own, top, step = at[alive, -1], own[alive], top[alive], step + n
         time, name = np.concatenate(times), np.concatenate(names)
-        places = (name % np.uint64(COORDINATES)).astype(np.int64)
+        places = (name % np.uint64(coordinates)).astype(np.int64)
         order = np.argsort(-time, kind="stable")
-        found, some = np.zeros(COORDINATES, np.uint64), np.zeros(COORDINATES, bool)
+        found, some = np.zeros(coordinates, np.uint64), np.zeros(coordinates, bool)
         found[places[order]] = name[order]
         some[places] = True
         out[empty & some] = found[empty & some]
@@ -122,8 +131,22 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def short(sig: np.ndarray) -> bytes:
+    """The top byte of each coordinate; the lowest bits are the same wherever the coordinate is."""
+    return (sig >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _finer(batches):
+    for batch in batches:
+        sigs = []
+        for text in batch.column("text").to_pylist():
+            elements, n = shingles(text.encode("utf-8", "surrogatepass").split())
+            sigs.append(short(signature(mix(elements ^ M2), n.astype(np.float64), FINER)))
+        yield {"rep": batch.column("id").to_pylist(), "finer": sigs}
+
+
 def _signed(batches):
-    """Of each document its id and content key; with the bands where the key is new to the task."""
+    """Of each document its id and content key; where the key is new to the task, also the bands and the short signature."""
     seen: set[bytes] = set()
 
     def rows():
@@ -131,16 +154,71 @@ def _signed(batches):
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                own = None
+                own = top = None
                 if key not in seen:
                     if len(seen) > CACHE:
                         seen.clear()
                     seen.add(key)
                     if words:
-                        own = bands(signature(*(lambda h, n: (h, n.astype(np.float64)))(*shingles(words))))
-                yield i, key, own
+                        sig = signature(*(lambda h, n: (h, n.astype(np.float64)))(*shingles(words)))
+                        own, top = bands(sig), short(sig)
+                yield i, key, own, top
+
+    yield from pack_rows(rows(), ["id", "key", "bands", "sig"], 1024)
 
-    yield from pack_rows(rows(), ["id", "key", "bands"], 1024)
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the coordinates (bytes, one row a node) agree, for each row of a and each of b."""
+    out = np.empty((len(a), len(b)), np.uint8)
+    for k in range(0, len(a), 16):
+        same = (a[k : k + 16, None, :] == b[None]).view(np.uint64).sum(axis=2)
+        out[k : k + 16] = (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
+    return out
+
+
+def _close(batches):
+    """Pairs of different classes whose signatures agree as those of links do, of sorted blocks (h, i, j) of members.
+
+    A block compares the members of part i with those of part j. A pair that shares several buckets comes from the one
+    of the smallest h alone."""
+
+    def pairs(block, rows):
+        h, i, j = block
+        left, right = [r for r in rows if r["part"] == i], [r for r in rows if r["part"] == j]
+        if not left or not right:
+            return
+        roots = [np.array([r["root"] for r in x]) for x in (left, right)]
+        found, n = np.unique(np.concatenate(roots), return_counts=True)
+        if len(found) < 2:
+            return
+        most = found[n.argmax()]
+        sigs = [np.frombuffer(b"".join(r["sig"] for r in x), np.uint8).reshape(len(x), COORDINATES) for x in (left, right)]
+        # Members of the largest class needn't be compared with each other.
+        for x, y in ((np.flatnonzero(roots[0] != most), np.arange(len(right))), (np.flatnonzero(roots[0] == most), np.flatnonzero(roots[1] != most))):
+            near = (agreeing(sigs[0][x], sigs[1][y]) >= least(COORDINATES)) & (roots[0][x][:, None] != roots[1][y])
+            for k, m in zip(*(z.tolist() for z in np.nonzero(near)), strict=True):
+                a, b = left[x[k]], right[y[m]]
+                if (i != j or a["rep"] < b["rep"]) and min(a["hs"] & b["hs"]) == h and finely(a, b):
+                    yield min(a["rep"], b["rep"]), max(a["rep"], b["rep"])
+
+    def finely(a, b):
+        if a["finer"] is None or b["finer"] is None:
+            return True
+        both = [np.frombuffer(x["sig"] + x["finer"], np.uint8) for x in (a, b)]
+        return np.count_nonzero(both[0] == both[1]) >= least(COORDINATES + FINER)
+
+    def rows():
+        at, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (block := (r["h"], r["i"], r["j"])) != at:
+                    yield from pairs(at, held) if held else ()
+                    at, held = block, []
+                r["hs"] = frozenset(r["hs"])
+                held.append(r)
+        yield from pairs(at, held) if held else ()
+
+    yield from pack_rows(rows(), ["p", "b"])
 
 
 def _verified(batches):
@@ -230,10 +308,19 @@ def starred(now: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("rep", "q").alias("p"), F.greatest("rep", "q").alias("b")).distinct()
 
 
-def crossed(now: DataFrame) -> DataFrame:
-    """All pairs (p, b) of members of different classes in buckets that have few."""
-    pairs = now.select("h", F.col("rep").alias("p"), F.col("root").alias("u")).join(now.select("h", F.col("rep").alias("b"), F.col("root").alias("v")), "h")
-    return pairs.filter("p < b and u <> v").select("p", "b").distinct()
+def close(now: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (p, b) of members of different classes whose signatures agree as those of links do.
+
+    A bucket is cut into parts of about BLOCK members, and each two parts meet in a block of their own. Nodes in buckets
+    of more than SMALL members get FINER more coordinates, as there most pairs are a little below SIMILAR."""
+    large = now.filter(F.col("m") > SMALL).select(F.col("rep").alias("id")).distinct()
+    finer = map_rows(texts.join(large.hint("merge"), "id", "left_semi"), _finer, "rep long, finer binary")
+    finer = written(finer.groupBy("rep").agg(F.first("finer").alias("finer")), "finer")
+    own = now.groupBy("rep").agg(F.collect_set("h").alias("hs")).join(nodes.select("rep", "sig"), "rep").join(finer, "rep", "left")
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = now.join(own, "rep").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(BLOCK)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "root", "sig", "finer", "hs")
+    return map_rows(dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), _close, "p long, b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,11 +328,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Copies are one node, named by their smallest id. The nodes that share a band are a bucket. Links are pairs of
     similarity SIMILAR or more, found in turns: in each, one or two members of each bucket are compared with the bucket's
-    members of other classes, and classes that a link connects become one. Turns go on until one finds no link; in
-    buckets of at most SMALL members, what is still apart is then compared pair by pair. So the work grows with the
-    bucket and not with its square, and members of a class aren't compared once they are known to be in it."""
-    signed = written(map_rows(docs, _signed, "id long, key binary, bands array<long>"), "signatures")
-    nodes = written(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "nodes")
+    members of other classes, and classes that a link connects become one. Buckets of at most SMALL members have one
+    turn, those of at most LARGE two, larger ones go on until a turn finds no link. At last, in buckets of at most LARGE
+    members, the signatures of what is still apart are compared in blocks, and pairs that agree enough are verified. So
+    a member costs at most LARGE comparisons of signatures in a bucket, and members of a class aren't compared once they
+    are known to be in it."""
+    signed = written(map_rows(docs, _signed, "id long, key binary, bands array<long>, sig binary"), "signatures")
+    nodes = written(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands"), F.first("sig", ignorenulls=True).alias("sig")), "nodes")
     placed = nodes.filter("rep is not null and bands is not null").select("rep", F.explode("bands").alias("h")).distinct()
     # Buckets of the same members, as bands of very similar texts make them, are one: their pairs are the same.
     own = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in range(2)]
@@ -253,20 +342,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = written(buckets.groupBy("m", "x0", "x1").agg(F.min("h").alias("h")).select("h", "m"), "firsts")
     members = written(join_by_hash(placed, firsts, "h", "m", nodes.count() * BANDS, F.col("rep")).filter("m is not null").select("h", "rep", "m"), "members")
     roots = written(members.select(F.col("rep").alias("node"), F.col("rep").alias("root")).distinct(), "roots")
-    seen = texts = None
-    turn, last = 0, False
+    texts = texts_of(members.select(F.col("rep").alias("p"), F.col("rep").alias("b")), docs)
+    most = members.agg(F.max("m")).first()[0] or 0
+    seen, turn, found = None, 0, True
     while True:
-        # Buckets of at most SMALL members have one turn and then wait for the last one.
+        last = turn > 0 and (most <= (SMALL if turn == 1 else LARGE) or not found)
         if last:
-            now = mixed(members.filter(F.col("m") <= SMALL), roots)
+            now = mixed(members.filter(F.col("m") <= LARGE), roots)
         elif turn:
-            now = mixed(now if turn > 1 else members.filter(F.col("m") > SMALL), roots)
+            now = mixed(members.filter(F.col("m") > (SMALL if turn == 1 else LARGE)), roots)
         else:
             now = members.withColumn("root", F.col("rep"))
-        pairs = crossed(now) if last else starred(now, turn)
+        pairs = close(now, nodes, texts) if last else starred(now, turn)
         pairs = written(pairs if seen is None else pairs.join(seen, ["p", "b"], "left_anti"), "pairs")
-        if texts is None:
-            texts = texts_of(members.select(F.col("rep").alias("p"), F.col("rep").alias("b")), docs)
         sims = verify(pairs, texts)
         links = sims.filter(F.col("sim") >= SIMILAR)
         found = not links.isEmpty()
@@ -275,7 +363,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if last:
             break
         seen = sims.select("p", "b") if seen is None else seen.unionAll(sims.select("p", "b"))
-        turn, last = turn + 1, not found
+        turn += 1
     named = nodes.select("key", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return signed.select("id", "key"), written(named.select("key", F.coalesce("root", "rep").alias("class_id"), "n"), "classes")
 

@@ -476,6 +476,29 @@ def test_near(spark, docs, rows, empty):
     assert stay.columns == docs.columns and {r[0] for r in stay.select("doc_id").collect()} - {None} == set(true_classes(rows).values())
 
 
+def test_near_in_blocks(spark, monkeypatch):
+    """Buckets of many classes, most pairs a little below the threshold, cut into several parts."""
+    monkeypatch.setattr(near_dedup, "SMALL", 20)
+    monkeypatch.setattr(near_dedup, "BLOCK", 30)
+    rng = random.Random(3)
+    base, every = [f"w{k}" for k in range(400)], []
+    for k in range(160):
+        w = list(base)
+        for at in rng.sample(range(400), rng.choice([6, 11, 12, 13])):
+            w[at] = f"new{rng.random()}"
+        every.append((k, " ".join(w), *[None] * 5))
+    out = near_dedup.near_dedup(spark.createDataFrame(every, SCHEMA).repartition(3)).collect()
+    want = true_classes(every)
+    assert {r["doc_id"]: r["class_id"] for r in out} == want and 1 < len(set(want.values())) < 160
+
+
+def test_agreeing():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 2, (n, near_dedup.COORDINATES)).astype(np.uint8) for n in (37, 21))
+    b[3] = a[5]
+    assert (near_dedup.agreeing(a, b) == (a[:, None] == b[None]).sum(axis=2)).all()
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.8):
