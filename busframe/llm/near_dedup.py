@@ -292,7 +292,7 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """h, m, rep and root of the members of those buckets that have more than one class; written."""
-    tagged = members.select("h", "m", "rep").join(roots.withColumnRenamed("node", "rep"), "rep").select("h", "m", "rep", "root")
+    tagged = written(members.select("h", "m", "rep").join(roots.withColumnRenamed("node", "rep"), "rep").select("h", "m", "rep", "root"), "tagged")
     several = tagged.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
     return written(tagged.join(several, "h", "left_semi"), "mixed")
 
