@@ -18,7 +18,9 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Further coordinates of the nodes in large buckets that have several classes.
 FINER = 1024
-CACHE = 600_000
+CACHE = 200_000
+#: Rows of a batch whose texts are Python objects at a time.
+SLICE = 128
 #: Buckets of more members have a second turn of centres before their signatures are compared.
 SMALL = 64
 #: In buckets of at most so many members the signatures of different classes are compared at last, in blocks.
@@ -136,8 +138,14 @@ def short(sig: np.ndarray) -> bytes:
     return (sig >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def _finer(batches):
+def sliced(batches):
     for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+
+
+def _finer(batches):
+    for batch in sliced(batches):
         sigs = []
         for text in batch.column("text").to_pylist():
             elements, n = shingles(text.encode("utf-8", "surrogatepass").split())
@@ -150,7 +158,7 @@ def _signed(batches):
     seen: set[bytes] = set()
 
     def rows():
-        for batch in batches:
+        for batch in sliced(batches):
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
@@ -209,7 +217,7 @@ def _close(batches):
 
     def rows():
         at, held = None, []
-        for batch in batches:
+        for batch in sliced(batches):
             for r in batch.to_pylist():
                 if (block := (r["h"], r["i"], r["j"])) != at:
                     yield from pairs(at, held) if held else ()
@@ -223,7 +231,7 @@ def _close(batches):
 
 def _verified(batches):
     at, own = None, None
-    for batch in batches:
+    for batch in sliced(batches):
         sims = []
         for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("p", "text_p", "text_b")), strict=True):
             if (p, len(a)) != at:
