@@ -492,6 +492,24 @@ def test_near_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in out} == want and 1 < len(set(want.values())) < 160
 
 
+def test_near_in_larger_buckets(spark, monkeypatch):
+    """Where buckets are too large for blocks, centres find no wrong link and most of the class around one text."""
+    monkeypatch.setattr(near_dedup, "SMALL", 10)
+    monkeypatch.setattr(near_dedup, "LARGE", 20)
+    rng = random.Random(4)
+    base, every = [f"w{k}" for k in range(400)], []
+    for k in range(90):
+        w = list(base)
+        for at in rng.sample(range(400), rng.choice([2, 4, 7, 12])):
+            w[at] = f"new{rng.random()}"
+        every.append((k, " ".join(w), *[None] * 5))
+    out = near_dedup.near_dedup(spark.createDataFrame(every, SCHEMA)).collect()
+    want = true_classes(every)
+    assert all(want[r["doc_id"]] == want[r["class_id"]] for r in out)
+    most, n = Counter(want.values()).most_common(1)[0]
+    assert max(Counter(r["class_id"] for r in out if want[r["doc_id"]] == most).values()) >= 0.9 * n
+
+
 def test_agreeing():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2, (n, near_dedup.COORDINATES)).astype(np.uint8) for n in (37, 21))
