@@ -23,8 +23,9 @@ CACHE = 200_000
 SLICE = 128
 #: Buckets of more members have a second turn of centres before their signatures are compared.
 SMALL = 64
-#: In buckets of at most so many members the signatures of different classes are compared at last, in blocks.
+#: Buckets of more members have turns of centres until one finds no link, so that fewer classes are left to compare.
 LARGE = 16_384
+#: At last the signatures of different classes are compared in every bucket, in blocks of two parts of so many members.
 BLOCK = 1024
 
 
@@ -337,10 +338,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Copies are one node, named by their smallest id. The nodes that share a band are a bucket. Links are pairs of
     similarity SIMILAR or more, found in turns: in each, one or two members of each bucket are compared with the bucket's
     members of other classes, and classes that a link connects become one. Buckets of at most SMALL members have one
-    turn, those of at most LARGE two, larger ones go on until a turn finds no link. At last, in buckets of at most LARGE
-    members, the signatures of what is still apart are compared in blocks, and pairs that agree enough are verified. So
-    a member costs at most LARGE comparisons of signatures in a bucket, and members of a class aren't compared once they
-    are known to be in it."""
+    turn, those of at most LARGE two, larger ones go on until a turn finds no link. At last, in buckets of every size,
+    the signatures of what is still apart are compared in blocks, and pairs that agree enough are verified. The turns
+    only save comparisons: members of a class aren't compared once they are known to be in it. A bucket that stays in
+    many classes costs the square of its members in comparisons of signatures, and each member goes to m / BLOCK blocks."""
     signed = written(map_rows(docs, _signed, "id long, key binary, bands array<long>, sig binary"), "signatures")
     nodes = written(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands"), F.first("sig", ignorenulls=True).alias("sig")), "nodes")
     placed = nodes.filter("rep is not null and bands is not null").select("rep", F.explode("bands").alias("h")).distinct()
@@ -356,7 +357,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         last = turn > 0 and (most <= (SMALL if turn == 1 else LARGE) or not found)
         if last:
-            now = mixed(members.filter(F.col("m") <= LARGE), roots)
+            now = mixed(members, roots)
         elif turn:
             now = mixed(members.filter(F.col("m") > (SMALL if turn == 1 else LARGE)), roots)
         else:

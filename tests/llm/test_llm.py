@@ -510,6 +510,25 @@ def test_near_in_larger_buckets(spark, monkeypatch):
     assert max(Counter(r["class_id"] for r in out if want[r["doc_id"]] == most).values()) >= 0.9 * n
 
 
+def test_near_without_centres(spark, monkeypatch):
+    """Where no centre touches a link, the blocks find all of them, also in buckets that are large."""
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "LARGE", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    starred = near_dedup.starred
+    monkeypatch.setattr(near_dedup, "starred", lambda now, turn: starred(now, turn).filter("p < 0"))
+    rng = random.Random(4)
+    base, every = [f"w{k}" for k in range(400)], []
+    for k in range(90):
+        w = list(base)
+        for at in rng.sample(range(400), rng.choice([2, 4, 7, 12])):
+            w[at] = f"new{rng.random()}"
+        every.append((k, " ".join(w), *[None] * 5))
+    out = near_dedup.near_dedup(spark.createDataFrame(every, SCHEMA).repartition(3)).collect()
+    want = true_classes(every)
+    assert {r["doc_id"]: r["class_id"] for r in out} == want and 1 < len(set(want.values())) < 90
+
+
 def test_agreeing():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2, (n, near_dedup.COORDINATES)).astype(np.uint8) for n in (37, 21))
