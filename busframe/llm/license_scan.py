@@ -36,13 +36,16 @@ NOTICES = {
     "eclipse public license": "epl",
 }
 TAG = "spdx license identifier"
-TAG_TEXT = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n*]{1,2000})", re.I)
+TAG_START = re.compile(r"SPDX-License-Identifier[ \t]*:", re.I)
+#: What may stand between a tag's expression and the end of its line.
+LINE_END = re.compile(r"[^\S\r\n]*[-/>]*[^\S\r\n]*(?:[\r\n*]|\Z)")
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "cc0-1.0", "unlicense", "bsl-1.0", "cc-by-4.0", "cc-by-3.0"}
 SCORES = {"base": 0.6, "notice": 0.9, "tag": 1.0}
 #: Bytes of a word after lowering: 0-9, a-z and all of 0x80 and above.
 TO_WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9.+:_-]+))")
+TAG_TOKEN = re.compile(r"[^\S\r\n]*(?:([()])|([A-Za-z0-9.+:_-]+))")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -107,10 +110,47 @@ def evaluate(expression: str, permissive: set[str] = PERMISSIVE) -> tuple[set[st
                 raise ValueError("with takes a licence and an exception")
             stack.append(({f"{min(a)} with {min(b)}"}, free_a))
         else:
-            stack.append((a | b, free_a or free_b if token == "or" else free_a and free_b))
+            # The smaller set joins the larger one in place, so that long expressions don't cost their square.
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a |= b
+            stack.append((a, free_a or free_b if token == "or" else free_a and free_b))
     return stack[0]
 
 
+def tag_text(text: str, at: int) -> str:
+    """The expression that starts at `at` in text: the longest run of tokens of the line that is complete.
+
+    What can't continue it, as prose behind it, ends it; so does a full stop, colon or dash at a name's end. If the
+    line ends in the middle of an expression, all of that is returned, which doesn't parse."""
+    start, good, depth, operand = at, at, 0, True
+    while m := TAG_TOKEN.match(text, at):
+        token, cut = m[1] or m[2], False
+        end = m.end()
+        if token == "(":
+            if not operand:
+                break
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif token.lower() in RANK:
+            if operand:
+                break
+            operand = True
+        else:
+            name = token.rstrip(".:_-")
+            if not operand or not name:
+                break
+            operand, cut, end = False, name != token, m.start(2) + len(name)
+        at = end
+        if not operand and not depth:
+            good = at
+        if cut:
+            break
+    return text[start : at if LINE_END.match(text, at) else good]
+
+
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
@@ -141,9 +181,9 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float,
             labels.add(NOTICES[phrase])
             score = max(score, SCORES["notice"])
     if tagged:
-        for m in TAG_TEXT.finditer(text):
+        for m in TAG_START.finditer(text):
             try:
-                names, ok = evaluate(m[1].rstrip(" \t-/>"))
+                names, ok = evaluate(tag_text(text, m.end()))
             except ValueError:
                 continue
             labels |= names
@@ -167,7 +207,8 @@ def _scan(batches):
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id and the columns of scan().
 
-    A null text is empty: no words, no labels, score 0. A tag whose expression doesn't parse adds nothing. Repeated
+    A null text is empty: no words, no labels, score 0. A tag's expression is the
+    longest complete one behind it on its line; a tag without one, or whose line ends inside one, adds nothing. Repeated
     places count each time, labels once. permissive is null where no tag's expression was evaluated. doc_id may be
     null or repeat. An empty table gives no rows."""
     return map_rows(plain(docs)[0].select("id", "text"), _scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean")

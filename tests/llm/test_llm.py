@@ -428,6 +428,18 @@ def test_expressions_that_are_none(text):
         license_scan.evaluate(text)
 
 
+def test_tag_texts():
+    many = [f"x-{k}" for k in range(3000)]
+    found = lambda line: license_scan.scan(f"SPDX-License-Identifier: {line}\nAND ISC")[5:]
+    assert found(" OR ".join(["MIT", *many])) == (",".join(sorted(["mit", *many])), 1.0, True)
+    assert found("MIT Permission is granted to any person") == found("MIT. And so on") == found("MIT --> text") == found("MIT (see below)") == ("mit", 1.0, True)
+    assert found("(MIT OR GPL-3.0) AND ISC, as below") == ("gpl-3.0,isc,mit", 1.0, True)
+    assert found("MIT or (at your option) ISC") == ("mit", 1.0, True)
+    assert found("MIT SPDX-License-Identifier: GPL-3.0") == ("gpl-3.0,mit", 1.0, False)
+    assert found("MIT OR") == found("(MIT") == found("(MIT OR ISC) WITH x") == found("MIT AND -->") == found("") == ("", 0.0, None)
+    assert found("MIT */ int x;") == found("MIT-->") == ("mit", 1.0, True)
+
+
 # near copies
 
 
