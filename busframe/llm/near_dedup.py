@@ -377,24 +377,66 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed.select("id", "key"), written(named.select("key", F.coalesce("root", "rep").alias("class_id"), "n"), "classes")
 
 
+def numbered(base: DataFrame) -> tuple[DataFrame, int | None]:
+    """base (id and others) with node: the id, or a number of its own above all ids where that is null; and how much
+    smaller nodes are than ids, or None if no id is null.
+
+    Rows with a null id are numbered by partition and place, from a table of one row a partition. Nodes are smaller
+    than ids only as far as there is no room above the largest id. ValueError if there is none below either."""
+    top, low, some = base.agg(F.max("id"), F.min("id"), F.count(F.when(F.col("id").isNull(), 1))).first()
+    if not some:
+        return base.withColumn("node", F.col("id")), None
+    rows = written(base.withColumn("at", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), "numbered")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    offsets, total = [], 0
+    for k, n in sorted(rows.filter("at is not null").groupBy(part.alias("part")).agg(F.max(place) + 1).collect()):
+        offsets.append((k, total))
+        total += n
+    first = 0 if top is None else top + 1
+    shift = max(0, first + total - (1 << 63))
+    if low is not None and low - shift < -(1 << 63):
+        raise ValueError("doc_id leaves no numbers for the rows without one")
+    offsets = rows.sparkSession.createDataFrame(offsets, "part long, offset long")
+    rows = rows.join(F.broadcast(offsets), part == F.col("part"), "left")
+    node = F.coalesce(F.col("id") - F.lit(shift).cast("long"), F.lit(first - shift).cast("long") + F.col("offset") + place)
+    return rows.withColumn("node", node).drop("at", "part", "offset"), shift
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its class) and content key of each of rows (node, text)."""
+    keys, named = classes(rows.select(F.col("node").alias("id"), "text"))
+    out = join_by_hash(keys, named, "key", "n", keys.count(), F.col("id"))
+    return out.select(F.col("id").alias("node"), F.col("class_id").alias("root"), "key")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class) and kept (it is that one).
 
     Documents are in one class if a chain of links joins them; two are linked if their counts of 5-word shingles have
     a weighted Jaccard similarity of 0.8 or more. Words are what ASCII white space parts. Texts of equal words are
-    copies; a null text is empty, and empty texts are copies. One of fewer than 5 words is one shingle. A null doc_id
-    gets the class of its copies, or null, and is kept only then; rows that share a doc_id are one document, in one
-    class. An empty table gives no rows."""
-    base, _ = plain(docs)
-    keys, named = classes(base.select("id", "text"))
-    total = keys.count()
-    out = join_by_hash(keys, named, "key", "n", total, F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    copies; a null text is empty, and empty texts are copies. One of fewer than 5 words is one shingle. A row with a
+    null doc_id is a document of its own, larger than any other; of a class of such rows alone class_id is null and
+    one row is kept. Rows that share a doc_id are one document, in one class. An empty table gives no rows."""
+    rows, shift = numbered(plain(docs)[0].select("id", "text"))
+    out = decided(rows)
+    if shift is None:
+        return out.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"), (F.col("node") == F.col("root")).alias("kept"))
+    top = rows.filter("id is not null").agg(F.max("node")).first()[0]
+    name = lambda c: F.when(F.col(c) <= F.lit(top).cast("long"), F.col(c) + F.lit(shift).cast("long"))
+    return out.select(name("node").alias("doc_id"), name("root").alias("class_id"), (F.col("node") == F.col("root")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_dedup doesn't keep, by doc_id; rows without one stay."""
-    gone = written(near_dedup(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    """docs without the rows that near_dedup doesn't keep. Of the rows of a kept doc_id one of each text stays, where
+    texts of equal words are the same."""
     base, own = plain(docs)
-    left = base.join(gone, F.col("id") == F.col("gone_id"), "left_anti")
+    rows, _ = numbered(base)
+    out = written(decided(rows), "decided")
+    gone = written(out.filter("node <> root").select(F.col("node").alias("gone")).distinct(), "gone")
+    twice = written(out.filter("node = root").groupBy("node", "key").count().filter("count > 1").select(F.col("node").alias("twice")).distinct(), "twice")
+    left = rows.join(gone, F.col("node") == F.col("gone"), "left_anti")
+    if not twice.isEmpty():
+        words = F.trim(F.regexp_replace("text", r"[\x09-\x0D\x20]+", " "))
+        several = left.join(twice, F.col("node") == F.col("twice"), "left_semi").withColumn("same", F.sha2(words, 256)).dropDuplicates(["node", "same"])
+        left = left.join(twice, F.col("node") == F.col("twice"), "left_anti").unionByName(several.drop("same"))
     return left.select(*own(left))

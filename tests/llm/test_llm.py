@@ -541,6 +541,24 @@ def test_near_without_centres(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in out} == want and 1 < len(set(want.values())) < 90
 
 
+@pytest.mark.parametrize("top", [900, 2**63 - 1])
+def test_near_with_null_and_repeated_ids(spark, top):
+    """Rows without an id are compared and dropped like others; of equal rows of one id one stays."""
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    rows = [(5, a), (None, a + " more"), (None, b), (None, b.replace(" ", "  ")), (None, b + " end"), (None, None), (None, " "), (top, c), (top, c + "\n"), (top, d)]
+    df = spark.createDataFrame(rows[:8] + [(7, "alone"), (7, "other")], "doc_id long, text string").repartition(3)
+    out = near_dedup.near_dedup(df)
+    assert Counter(map(tuple, out.collect())) == Counter({(5, 5, True): 1, (None, 5, False): 1, (None, None, True): 2, (None, None, False): 3, (top, top, True): 1, (7, 7, True): 2})
+    stay = near_dedup.keep_one(df).collect()
+    assert Counter(r["doc_id"] for r in stay) == Counter({5: 1, None: 2, top: 1, 7: 2})
+    assert sorted(len((r["text"] or "").split()) > 0 for r in stay if r["doc_id"] is None) == [False, True]
+    twice = near_dedup.keep_one(spark.createDataFrame(rows[7:10], "doc_id long, text string")).collect()
+    assert sorted(r["text"].split() == c.split() for r in twice) == [False, True]
+    none = near_dedup.keep_one(df.filter("doc_id is null"))
+    assert none.columns == df.columns and len(none.collect()) == 3
+
+
 def test_agreeing():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2, (n, near_dedup.COORDINATES)).astype(np.uint8) for n in (37, 21))
