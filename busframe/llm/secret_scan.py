@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,64 +26,92 @@ THRESHOLDS = {"entropy_hex": 3.0, "entropy_b64": 3.7}
 #: Strings that hold one of these, in any case, are examples or counters and no secrets.
 ALLOWED = ("example", "sample", "placeholder", "changeme", "change_me", "dummy", "redacted", "yourkey", "your_key", "your-key", "abcdefghij", "0123456789", "1234567890", "xxxxxxxx", "00000000")
 
-SPAN = "struct<start:int,rank:int,end:int>"
+#: start, kind's rank and end in code points; begin and stop are the same places in bytes of UTF-8.
+SPAN = "struct<start:int,rank:int,end:int,begin:int,stop:int>"
+#: Long arrays are folded in blocks of so many items, so that what a fold gathers isn't copied whole for each item.
+BLOCK = 256
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f uses it, also in functions that f hands on."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def gathered(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The struct (state, out) after items went through step in order: a new state and an array of what is put out.
+
+    items is an array. Time grows with the items and not with their square."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(own: Column, acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(own, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return bound(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    first = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    blocks = lambda own: F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int"))
+    fold = lambda own: F.aggregate(blocks(own), first, lambda acc, k: block(own, acc, k), lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+    return bound(items, lambda own: F.when(F.size(own) > 0, fold(own)).otherwise(F.struct(start.alias("state"), none.alias("out"))))
 
 
 def _spans(text: Column, found: Column, pattern: str, rank: int) -> Column:
     """Spans of the matches `found` of pattern in text, from the lengths of what lies between and in them."""
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    pairs = bound(F.split(text, pattern, -1), lambda gaps: F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        begin, byte = state["at"] + F.length(x["gap"]), state["byte"] + F.octet_length(x["gap"])
+        end, stop = begin + F.length(x["hit"]), byte + F.octet_length(x["hit"])
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), byte.alias("begin"), stop.alias("stop"))
+        return F.struct(end.alias("at"), stop.alias("byte")), F.array(span)
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(found) > 0, gathered(pairs, start, step, SPAN)["out"]).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def window_entropy(string: Column, alphabet: str, window: int = WINDOW) -> Column:
     """The greatest Shannon entropy, in bits a character, of any `window` neighbouring characters of string; 0 if it is shorter.
 
     Counts of the characters in the window and the sum of n log2 n over them are kept up as it slides: one character
-    comes in, one goes out. Characters outside the alphabet count as one more."""
-    size = len(alphabet) + 1
-    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(alphabet), c))
+    comes in, one goes out, and only their two counts are written. The counts are a string with a character for each
+    of the alphabet's, and one more for all others. Time grows with the length of the string."""
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    at = lambda a, k: F.get(a, k)
-    start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+    count = lambda counts, code: F.ascii(F.substr(counts, code + 1, F.lit(1))) - ord("0")
+    put = lambda counts, code, n: F.overlay(counts, F.chr(n + ord("0")), code + 1, F.lit(1))
+    start = F.struct(F.lit("0" * (len(alphabet) + 1)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+
+    def slide(codes: Column, acc: Column, k: Column) -> Column:
+        def gone(m: Column, go: Column) -> Column:
+            return F.struct(put(acc["counts"], go, m - 1).alias("counts"), (acc["total"] - term(m) + term(m - 1)).alias("total"))
 
-    def slide(acc: Column, k: Column) -> Column:
-        come = at(codes, k)
-        go = F.when(k >= window, at(codes, k - window)).otherwise(F.lit(-1))
-        n, m = at(acc["counts"], come), F.when(go >= 0, at(acc["counts"], go)).otherwise(F.lit(0))
-        same = come == go
-        total = F.when(same, acc["total"]).otherwise(acc["total"] - term(n) + term(n + 1) - term(m) + term(m - 1))
-        counts = F.transform(acc["counts"], lambda v, j: v + (j == come).cast("int") - (j == go).cast("int"))
-        now = F.when(k >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(acc["best"], now).alias("best"))
+        def come(left: Column) -> Column:
+            code = F.get(codes, k)
+            n = count(left["counts"], code)
+            return bound(n, lambda n: F.struct(put(left["counts"], code, n + 1).alias("counts"), (left["total"] - term(n) + term(n + 1)).alias("total")))
 
-    n = F.length(string)
-    return F.when(n >= window, F.aggregate(F.sequence(F.lit(0), n - 1), start, slide, lambda acc: acc["best"])).otherwise(F.lit(0.0))
+        less = F.when(k >= window, bound(F.get(codes, k - window), lambda go: bound(count(acc["counts"], go), lambda m: gone(m, go)))).otherwise(F.struct(acc["counts"].alias("counts"), acc["total"].alias("total")))
+        now = lambda x: F.when(k >= window - 1, F.lit(math.log2(window)) - x["total"] / window).otherwise(F.lit(0.0))
+        return bound(less, lambda left: bound(come(left), lambda x: F.struct(x["counts"].alias("counts"), x["total"].alias("total"), F.greatest(acc["best"], now(x)).alias("best"))))
+
+    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(alphabet), c))
+    best = lambda own: F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), start, lambda acc, k: slide(own, acc, k), lambda acc: acc["best"])
+    return F.when(F.length(string) >= window, bound(codes, best)).otherwise(F.lit(0.0))
 
 
 def _entropic(string: Column) -> Column:
     """The rank of a candidate's kind if it looks random, else null."""
-    plain_text = F.lower(string)
-    allowed = F.lit(False)
-    for word in ALLOWED:
-        allowed = allowed | F.contains(plain_text, F.lit(word))
+    allowed = string.rlike("(?i)" + "|".join(ALLOWED))
     is_hex = string.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     mixed = string.rlike("[0-9]") & string.rlike("[A-Za-z]")
-    hexes = is_hex & (window_entropy(plain_text, ALPHABETS["entropy_hex"]) >= THRESHOLDS["entropy_hex"])
-    others = ~is_hex & (window_entropy(string, ALPHABETS["entropy_b64"]) >= THRESHOLDS["entropy_b64"])
-    return F.when(~mixed | allowed, F.lit(None)).when(hexes, F.lit(3)).when(others, F.lit(4)).cast("int")
+    hexes = window_entropy(F.lower(string), ALPHABETS["entropy_hex"]) >= THRESHOLDS["entropy_hex"]
+    others = window_entropy(string, ALPHABETS["entropy_b64"]) >= THRESHOLDS["entropy_b64"]
+    return F.when(~mixed | allowed, F.lit(None)).when(is_hex, F.when(hexes, F.lit(3))).when(others, F.lit(4)).cast("int")
 
 
 def with_spans(df: DataFrame, text: str) -> DataFrame:
-    """df (columns c0, ..., id, text) with base and all, arrays of spans (start, rank of the kind, end), by start and rank."""
+    """df (columns c0, ..., id, text) with base and all, arrays of spans, by start and rank."""
     none = F.array().cast(f"array<{SPAN}>")
     out = df.withColumns({
         "m_assign": F.regexp_extract_all(text, F.lit(ASSIGN), 0),
@@ -91,18 +120,24 @@ def with_spans(df: DataFrame, text: str) -> DataFrame:
         "m_run": F.regexp_extract_all(text, F.lit(CANDIDATE), 0),
     })
     col = F.col
-    values = F.when(F.size("m_assign") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), 2)).otherwise(F.array().cast("array<string>"))
-    kept = F.filter(F.arrays_zip(_spans(col(text), col("m_assign"), ASSIGN, 0).alias("s"), values.alias("v")), lambda x: F.length(x["v"]) >= ASSIGN_LEAST)
-    assign = F.when(F.size("m_assign") > 0, F.transform(kept, lambda x: x["s"])).otherwise(none)
+    values = F.regexp_extract_all(text, F.lit(ASSIGN), 2)
+    long = lambda own: F.transform(F.filter(own, lambda x: F.length(x["v"]) >= ASSIGN_LEAST), lambda x: x["s"])
+    assign = F.when(F.size("m_assign") > 0, bound(F.arrays_zip(_spans(col(text), col("m_assign"), ASSIGN, 0).alias("s"), values.alias("v")), long)).otherwise(none)
     ranks = F.when(F.size("m_run") > 0, F.transform(col("m_run"), _entropic)).otherwise(F.array().cast("array<int>"))
     out = out.withColumns({"s_assign": assign, "s_access": _spans(col(text), col("m_access"), ACCESS, 1), "s_hex": _spans(col(text), col("m_hex"), HEX, 2), "r_run": ranks})
     out = out.withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
-    runs = F.when(F.exists("r_run", lambda r: r.isNotNull()), F.arrays_zip(_spans(col(text), col("m_run"), CANDIDATE, 3).alias("s"), col("r_run").alias("r"))).otherwise(F.array().cast(f"array<struct<s:{SPAN},r:int>>"))
-    out = out.withColumn("runs", runs)
-    extra = F.transform(F.filter("runs", lambda x: x["r"].isNotNull()), lambda x: F.struct(x["s"]["start"].alias("start"), x["r"].alias("rank"), x["s"]["end"].alias("end")))
-    fresh = F.filter(extra, lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    out = out.withColumn("all", F.when(F.size("runs") > 0, F.array_sort(F.concat("base", fresh))).otherwise(col("base")))
-    return out.drop("m_assign", "m_access", "m_hex", "m_run", "r_run", "runs", "s_assign", "s_access", "s_hex")
+    random = lambda own: F.transform(F.filter(own, lambda x: x["r"].isNotNull()), lambda x: x["s"].withField("rank", x["r"]))
+    extra = F.when(F.exists("r_run", lambda r: r.isNotNull()), bound(F.arrays_zip(_spans(col(text), col("m_run"), CANDIDATE, 3).alias("s"), col("r_run").alias("r")), random)).otherwise(none)
+    out = out.withColumn("extra", extra)
+
+    def fresh(reach: Column, x: Column) -> tuple[Column, Column]:
+        """A span of the method goes if a base span that begins no later reaches its end; base spans of a place come first."""
+        own = x["rank"] < 3
+        return F.when(own, F.greatest(reach, x["end"])).otherwise(reach), F.when(own | (reach < x["end"]), F.array(x)).otherwise(none)
+
+    every = gathered(F.array_sort(F.concat("base", "extra")), F.lit(0), fresh, SPAN)["out"]
+    out = out.withColumn("all", F.when(F.size("extra") > 0, every).otherwise(col("base")))
+    return out.drop("m_assign", "m_access", "m_hex", "m_run", "r_run", "extra", "s_assign", "s_access", "s_hex")
 
 
 def _joined(spans: str) -> Column:
@@ -131,15 +166,16 @@ def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
     base, own = plain(docs)
     found = with_spans(base, "text")
     at = docs.columns.index("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def masked(data: Column) -> Column:
+        """The text in bytes, cut by the spans' places in bytes, as a place is found at once there."""
+        part = lambda begin, stop: F.substring(data, begin + 1, stop - begin).cast("string")
+
+        def step(reach: Column, x: Column) -> tuple[Column, Column]:
+            return F.greatest(reach, x["stop"]), F.when(x["begin"] >= reach, F.array(part(reach, x["begin"]), F.lit(mask))).otherwise(F.array().cast("array<string>"))
+
+        return bound(gathered(F.col("all"), F.lit(0), step, "string"), lambda x: F.concat(F.array_join(x["out"], ""), part(x["state"], F.octet_length(data))))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    masked = F.when(F.size("all") > 0, F.aggregate("all", start, step, rest)).otherwise(F.col(f"c{at}"))
     columns = own(found)
-    columns[at] = masked.alias("text")
+    columns[at] = F.when(F.size("all") > 0, bound(F.col("text").cast("binary"), masked)).otherwise(F.col(f"c{at}")).alias("text")
     return found.select(*columns)

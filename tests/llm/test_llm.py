@@ -106,21 +106,47 @@ def test_directory(keys, capacity, skip):
     keys = [k & (2 ** (64 - skip) - 1) for k in keys]
     d = exact_dedup.Directory(capacity, skip)
     for n, k in enumerate(keys):
-        d.insert(k, n)
-    assert sorted(n for b in d.buckets() for _, n in b[2]) == list(range(len(keys))) and len(d.entries) == 1 << d.depth
-    for prefix, depth, items in d.buckets():
-        assert all(d._place(k, depth) == prefix for k, _ in items)
-        assert len(items) <= capacity or depth == exact_dedup.DEEPEST
+        assert d.find(k, b"%d" % n) is None
+        assert d.insert(k, b"%d" % n).text == b"%d" % n
+    assert len(d.entries) == 1 << d.depth
+    for n, k in enumerate(keys):
+        assert d.find(k, b"%d" % n).chain == keys[:n].count(k) and d.find(k, b"none") is None
+    assert sorted(int(x.text) for b in d.buckets() for chain in b[2].values() for x in chain) == list(range(len(keys)))
+    for prefix, depth, chains in d.buckets():
+        assert all(d._place(k, depth) == prefix for k in chains)
+        assert len(chains) <= capacity or depth == exact_dedup.DEEPEST
 
 
-def test_index_chains_collisions(monkeypatch):
+def test_index_chains_collisions():
     """Texts of one hash are told apart by their bytes."""
     import pyarrow as pa
 
     run = exact_dedup._owner(2, 2)
-    batch = pa.record_batch({"h": [5, 5, 5, 9], "text": ["a", "b", "a", "c"], "keep_id": [4, 1, 2, None], "n": [1, 1, 3, 2]})
+    batch = pa.record_batch({"h": [5, 5, 9, 5, 5, -1], "text": ["a", "b", "c", "a", "a", "a"], "keep_id": [4, 1, None, 2, 3, 7], "n": [1, 1, 2, 3, 1, 1]})
     out = [x for x in run([batch])][0]
-    assert list(zip(out["h"], out["chain"], out["keep_id"], out["group_size"])) == [(5, 0, 2, 4), (5, 1, 1, 1), (9, 0, None, 2)]
+    assert sorted(zip(out["h"], out["chain"], out["keep_id"], out["group_size"])) == [(-1, 0, 7, 1), (5, 0, 2, 5), (5, 1, 1, 1), (9, 0, None, 2)]
+    assert out["slot"] == (0, 0, 0, 3)
+
+
+def test_index_answers(monkeypatch, docs):
+    """The answers come from the directory: where it finds nothing, copies stay apart."""
+    class Broken(exact_dedup.Directory):
+        def find(self, key, text):
+            return None
+
+    import pyarrow as pa
+
+    batch = pa.record_batch({"h": [5, 5], "text": ["a", "a"], "keep_id": [4, 1], "n": [1, 1]})
+    monkeypatch.setattr(exact_dedup, "Directory", Broken)
+    assert [x["group_size"] for x in exact_dedup._owner(2, 2)([batch])] == [(1, 1)]
+
+
+def test_index_splits(spark):
+    df = spark.range(3000).selectExpr("id", "concat('text ', id % 2000) text").repartition(3)
+    index = exact_dedup.build_index(df, capacity=4)
+    assert index.count() == 2000 and index.agg({"group_size": "sum"}).first()[0] == 3000
+    buckets = exact_dedup.directory(index)
+    assert buckets.agg({"entries": "max"}).first()[0] <= 4 and buckets.agg({"depth": "max"}).first()[0] >= 3
 
 
 # lines
@@ -219,11 +245,42 @@ def test_secrets(spark, docs, rows, empty):
     more = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))) for k in range(400)]
     df = spark.createDataFrame(more, "doc_id long, text string")
     assert got(secret_scan.secret_scan(df)) == sorted(((k, *secrets_of(t)) for k, t in more), key=repr)
+    hidden = dict(secret_scan.mask_secrets(df).collect())
+    for k, t in more:
+        want, at = "", 0
+        for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in secrets_of(t)[-1].split(",") if x):
+            if a >= at:
+                want += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert hidden[k] == want + t[at:]
     masked = secret_scan.mask_secrets(docs)
     assert masked.columns == docs.columns
     assert dict(masked.filter("text like '[SECRET]%' and doc_id > 0").select("doc_id", "text").collect()).popitem()[1] == '[SECRET]" and'
 
 
+def test_long_secrets(spark):
+    """A candidate of 100,000 characters and 10,000 matches take seconds, and give what the plain version does."""
+    import time
+
+    rng = random.Random(9)
+    letters = secret_scan.ALPHABETS["entropy_b64"]
+    run = "".join(rng.choices(letters, k=100_000))
+    even = "xy1" * 33_333
+    many = " ".join(f"é token={rng.getrandbits(64):016x} {'q8Zr2Lm0Xv5Kt7Wb3Nc9'[k % 5:]}{k:05d}" for k in range(10_000))
+    for text in (run, even, many):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        out = got(secret_scan.secret_scan(df))
+        hidden = secret_scan.mask_secrets(df).first()["text"]
+        assert time.time() - began < 20
+        n_spans = len(out[0][-1].split(",")) if out[0][-1] else 0
+        assert hidden.count("[SECRET]") == n_spans and (text is not even or hidden == text)
+        if text is many:
+            assert out == [(1, *secrets_of(text))]
+        else:
+            assert out == [(1, 0, 0, 0, sha(""), "entropy_b64:0:100000" if text is run else "")]
+
+
 # packing
 
 
@@ -383,6 +440,90 @@ def test_shards(spark, docs, empty):
     assert none.read().count() == 0 and none.read().columns == empty.columns
 
 
+def test_shards_with_clashing_columns(spark, docs, tmp_path):
+    from busframe.llm import queries
+
+    own = docs.withColumnsRenamed({"h": "shard", "lang": "shard_file", "c0": "place", "sequence_id": "file"})
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op8_shards(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "shard", "text_sha256"] and got(out.select("doc_id", "text_sha256")) == sorted(((r["doc_id"], sha(r["text"] or "")) for r in own.collect()), key=repr)
+    store = shards.ShardStore(spark, shared_folder(spark, "test-clash"))
+    store.append(own)
+    placed = store.read(shard="Shard_")
+    assert placed.columns == [*own.columns, "Shard_"] and got(placed.drop("Shard_")) == got(own) and {r[0] for r in placed.select("Shard_").distinct().collect()} == set(range(len(store.shards())))
+    with pytest.raises(ValueError):
+        store.read(shard="Shard")
+
+
+def test_shards_with_other_writers(spark, monkeypatch):
+    """What another writer commits, or has written and not committed, is never lost."""
+    folder = shared_folder(spark, "test-writers")
+    one, two = (shards.ShardStore(spark, folder, target=1 << 20, fanout=2, least=1 << 10) for _ in range(2))
+    numbers = lambda k: spark.range(k, k + 10).coalesce(1)
+    for k in range(3):
+        one.append(numbers(10 * k))
+    pending = two._write(numbers(100))
+    write = one._write
+
+    def slowly(df):
+        out = write(df)
+        if two.version() == 3:
+            two.append(numbers(30))  # arrives while the merge is written
+        return out
+
+    monkeypatch.setattr(one, "_write", slowly)
+    one.compact()
+    assert one.vacuum() > 0
+    two._update(None, lambda old: old + pending)
+    ids = sorted(r[0] for r in one.read().collect())
+    assert ids == [*range(40), *range(100, 110)]
+    left = one._write(numbers(500))
+    assert one.vacuum(grace=3600) >= 0 and one.fs.exists(one._path(f"{folder}/{left[0].file}"))
+    assert one.vacuum(grace=-10) >= 1 and not one.fs.exists(one._path(f"{folder}/{left[0].file}"))
+    assert sorted(r[0] for r in one.read().collect()) == ids
+
+
+def simulated(sizes, target, fanout, least):
+    """Compaction of shards by their sizes alone, a round at a time: lists of the sources of each final shard."""
+    now = [(n, [k]) for k, n in enumerate(sizes)]
+    while True:
+        tiers = defaultdict(list)
+        for n, own in now:
+            if n < target // 2:
+                t = 0
+                while n >= least * fanout**t:
+                    t += 1
+                tiers[t].append((n, own))
+        merged = []
+        for t in sorted(tiers):
+            run = []
+            for x in [*tiers[t], None]:
+                if x is None or run and sum(y[0] for y in run) + x[0] > target:
+                    if len(run) >= fanout or len(run) > 1 and sum(y[0] for y in run) >= target // 2:
+                        merged.append(run)
+                    run = []
+                if x:
+                    run.append(x)
+        if not merged:
+            return [own for _, own in now]
+        gone = [x for run in merged for x in run]
+        now = [x for x in now if x not in gone] + [(sum(y[0] for y in run), [k for y in run for k in y[1]]) for run in merged]
+
+
+@given(st.lists(st.integers(1, 1 << 20), max_size=40), st.integers(2, 5))
+@settings(max_examples=60, deadline=None)
+def test_compaction_is_the_simulated_one(sizes, fanout):
+    """The store's plan and rounds, on a store that only keeps sizes, against a plain simulation."""
+    target, least = 1 << 19, 1 << 10
+    store = shards.ShardStore.__new__(shards.ShardStore)
+    store.target, store.fanout, store.least, store.width = target, fanout, least, 3
+    now = [shards.Shard(str(k), n, 1) for k, n in enumerate(sizes)]
+    while runs := store.plan(now):
+        gone = {s.file for run in runs for s in run}
+        now = [s for s in now if s.file not in gone] + [shards.Shard("+".join(s.file for s in run), sum(s.size for s in run), sum(s.rows for s in run)) for run in runs]
+    assert [[int(k) for k in s.file.split("+")] for s in now] == simulated(sizes, target, fanout, least)
+
+
 def test_shard_plan(spark):
     store = shards.ShardStore(spark, shared_folder(spark, "test-plan"), target=100 << 20)
     small = [shards.Shard(f"s{k}", 2 << 20, 1) for k in range(10)]
