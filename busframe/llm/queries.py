@@ -14,7 +14,7 @@ from busframe.llm.packing import pack
 from busframe.llm.pieces import piece_digests
 from busframe.llm.quality import quality_rules
 from busframe.llm.secret_scan import secret_scan
-from busframe.llm.shards import compacted
+from busframe.llm.shards import compacted, free_name
 from busframe.llm.token_counts import edited_counts, sample_edits
 
 
@@ -49,8 +49,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document, the shard it ends up in after compaction, and the digest of its text as read back from there."""
-    rows = compacted(documents(spark, sf_dir), shared_folder(spark, "shards")).read(shard="shard")
-    return rows.select("doc_id", F.col("shard").cast("long").alias("shard"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    docs = documents(spark, sf_dir)
+    place = free_name(docs.columns, "shard")
+    rows = compacted(docs, shared_folder(spark, "shards")).read(shard=place)
+    return rows.select("doc_id", F.col(place).cast("long").alias("shard"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -12,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1 << 20
+#: How often a commit that another writer came before is tried on the version then latest.
+TRIES = 20
+#: Files that no manifest has named yet may belong to a writer that is still at work for so many seconds.
+GRACE = 24 * 3600
 
 
 class CommitConflict(RuntimeError):
@@ -29,9 +34,10 @@ class ShardStore:
     """A table in a folder: immutable Parquet shards, and manifests v00000001.json, ... each naming the shards it has.
 
     The folder is reached by Hadoop's file systems alone. A version is committed by renaming its finished manifest to
-    a name that must not exist yet, so readers see all of a version or none, and of two writers one fails. Files that
-    no manifest names, as those of a job that was cut off, are never read; vacuum() removes them. The driver handles
-    the shards' names, sizes and row counts, never their rows."""
+    a name that must not exist yet, so readers see all of a version or none, and of two writers one fails and tries
+    again on the other's version. Files that no manifest names, as those of a job that was cut off, are never read;
+    vacuum() removes them once they are old. The driver handles the shards' names, sizes and row counts, never their
+    rows."""
 
     def __init__(self, spark: SparkSession, folder: str, target: int = 64 * MB, fanout: int = 4, least: int = MB, width: int = 64):
         self.spark, self.folder, self.target, self.fanout, self.least, self.width = spark, folder.rstrip("/"), target, fanout, least, width
@@ -42,10 +48,14 @@ class ShardStore:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
 
+    def versions(self) -> list[int]:
+        """The versions whose manifests are there, in order."""
+        names = [x.getPath().getName() for x in self.fs.listStatus(self._path(f"{self.folder}/manifests"))]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
     def version(self) -> int:
         """The latest version; 0 before the first."""
-        names = [x.getPath().getName() for x in self.fs.listStatus(self._path(f"{self.folder}/manifests"))]
-        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
@@ -74,6 +84,22 @@ class ShardStore:
                 raise CommitConflict(f"version {version} is there already") from e
             raise
 
+    def _update(self, schema: str | None, change: Callable[[list[Shard]], list[Shard] | None]) -> int | None:
+        """Commits what change makes of the latest version's shards; gives the version, or null if change gives null.
+
+        change runs anew on the version of another writer who came first."""
+        for _ in range(TRIES):
+            old = self.manifest()
+            shards = change([Shard(**x) for x in old["shards"]])
+            if shards is None:
+                return None
+            try:
+                self._commit(old["version"] + 1, old["schema"] or schema, shards)
+                return old["version"] + 1
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"{TRIES} other versions came first")
+
     def _write(self, df: DataFrame) -> list[Shard]:
         """A shard for each task of df that has rows."""
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
@@ -86,14 +112,17 @@ class ShardStore:
         return [Shard(f"{folder[len(self.folder) + 1 :]}/{n}", size, rows[n]) for n, size in sorted(files.items()) if n in rows]
 
     def append(self, df: DataFrame) -> int:
-        """Adds df's rows as new shards, one for each of its tasks, and commits; gives the version."""
-        old = self.manifest()
+        """Adds df's rows as new shards, one for each of its tasks, and commits; gives the version.
+
+        The rows are written once; where another writer commits meanwhile, they are added to that version."""
         shards = self._write(df)
-        self._commit(old["version"] + 1, old["schema"] or df.schema.json(), [Shard(**x) for x in old["shards"]] + shards)
-        return old["version"] + 1
+        return self._update(df.schema.json(), lambda old: old + shards)
 
     def tier(self, size: int) -> int:
-        return 0 if size < self.least else 1 + int(math.log(size / self.least, self.fanout))
+        tier, top = 0, self.least
+        while size >= top:
+            tier, top = tier + 1, top * self.fanout
+        return tier
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to be merged: neighbours in order of arrival within a tier, from fanout shards up, cut near the target.
@@ -125,7 +154,8 @@ class ShardStore:
         """Merges runs until no tier has one, committing a version a round; gives the version.
 
         A merge is one task that reads a run's shards and writes one file, without a shuffle, so that no key's rows
-        gather anywhere; jobs hold `width` merges at most."""
+        gather anywhere; jobs hold `width` merges at most. Shards that arrive meanwhile stay. If another compaction took
+        the same shards first, this round's files are left to vacuum() and the runs are planned anew."""
         while runs := self.plan((old := self.manifest()) and [Shard(**x) for x in old["shards"]]):
             new: list[Shard] = []
             for k in range(0, len(runs), self.width):
@@ -134,30 +164,33 @@ class ShardStore:
             gone = {s.file for run in runs for s in run}
             if sum(s.rows for run in runs for s in run) != sum(s.rows for s in new):
                 raise RuntimeError("merged shards hold other row counts than their sources")
-            self._commit(old["version"] + 1, old["schema"], [s for s in map(lambda x: Shard(**x), old["shards"]) if s.file not in gone] + new)
+            self._update(old["schema"], lambda now: [s for s in now if s.file not in gone] + new if gone <= {s.file for s in now} else None)
         return self.version()
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes data files that none of the last `keep` versions names, and older manifests; gives the files removed."""
-        now = self.version()
-        named = {s.file for v in range(max(1, now - keep + 1), now + 1) for s in self.shards(v)}
-        for v in range(1, now - keep + 1):
-            self.fs.delete(self._path(f"{self.folder}/manifests/v{v:08d}.json"), False)
-        n = 0
-        data = self._path(f"{self.folder}/data")
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Removes the data files that only versions before the last `keep` name, with their manifests; gives the files removed.
+
+        Files that no manifest names at all may belong to a writer that hasn't committed yet; they go when they are
+        older than grace seconds."""
+        versions = self.versions()
+        kept, old = versions[-keep:] if keep else [], versions[:-keep] if keep else versions
+        named = {s.file for v in kept for s in self.shards(v)}
+        retired = {s.file for v in old for s in self.shards(v)} - named
+        n = sum(bool(self.fs.delete(self._path(f"{self.folder}/{f}"), False)) for f in sorted(retired))
+        data, latest = self._path(f"{self.folder}/data"), (time.time() - grace) * 1000
         for d in self.fs.listStatus(data) if self.fs.exists(data) else []:
-            files = [x.getPath().getName() for x in self.fs.listStatus(d.getPath())]
-            own = [f"data/{d.getPath().getName()}/{f}" for f in files if f.startswith("part-")]
-            for f in own:
-                if f not in named:
-                    self.fs.delete(self._path(f"{self.folder}/{f}"), False)
-                    n += 1
-            if not any(f in named for f in own):
+            files = list(self.fs.listStatus(d.getPath()))
+            own = {f"data/{d.getPath().getName()}/{x.getPath().getName()}": x for x in files if x.getPath().getName().startswith("part-")}
+            if not own.keys() & named and max([d.getModificationTime(), *(x.getModificationTime() for x in files)]) <= latest:
+                n += len(own)
                 self.fs.delete(d.getPath(), True)
+        for v in old:
+            self.fs.delete(self._path(f"{self.folder}/manifests/v{v:08d}.json"), False)
         return n
 
     def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
-        """The rows of a version; shard: a column for the place of each row's shard in the manifest."""
+        """The rows of a version; shard: a column for the place of each row's shard in the manifest, by a name that no
+        column has."""
         manifest = self.manifest(version)
         if not manifest["version"]:
             raise ValueError("nothing was committed yet")
@@ -165,11 +198,23 @@ class ShardStore:
         df = self._read(files, manifest["schema"]) if files else self.spark.createDataFrame([], self._read(["manifests"], manifest["schema"]).schema)
         if not shard:
             return df
-        places = {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1]: k for k, f in enumerate(files)}
-        names = self.spark.createDataFrame([(f, k) for f, k in places.items()], "shard_file string, shard_place int")
-        tail = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
         columns = df.columns
-        return df.toDF(*columns).withColumn("shard_file", tail).join(F.broadcast(names), "shard_file", "left").select(*columns, F.col("shard_place").alias(shard))  # names: a row a shard
+        if shard.lower() in map(str.lower, columns):
+            raise ValueError(f"there is a column {shard} already")
+        places = {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1]: k for k, f in enumerate(files)}
+        own = [f"c{k}" for k in range(len(columns))]
+        names = self.spark.createDataFrame(list(places.items()), "file string, place int")
+        tail = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1) if files else F.lit(None).cast("string")
+        # The columns go by place, so that none can clash with the two that are added; names has a row a shard.
+        tagged = df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(x) for c, x in zip(columns, own, strict=True)], tail.alias("file"))
+        return tagged.join(F.broadcast(names), "file", "left").select(*[F.col(x).alias(c) for x, c in zip(own, columns, strict=True)], F.col("place").alias(shard))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with so many _ behind it that no column has it."""
+    while name.lower() in map(str.lower, columns):
+        name += "_"
+    return name
 
 
 def compacted(docs: DataFrame, folder: str, target: int = 64 * MB, fanout: int = 4) -> ShardStore:
