@@ -10,8 +10,12 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
+from busframe.llm.common import Cache, forgets
+
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 1_000_000
+#: Bytes of the caches of words behind a space, of other words and of pre-tokens; what an entry takes beside its text and ids.
+SPACED, BARE, SIZES = 160 << 20, 48 << 20, 128 << 20
+ENTRY = 190
 #: Marks that end a word and are a pre-token of their own behind letters.
 MARKS = ".,;:!?"
 #: Texts of these characters alone are cut alike by the faster of the two patterns.
@@ -32,9 +36,7 @@ class ByteIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.bare: dict[str, bytes | None] = {}
-        self.spaced: dict[str, bytes | None] = {}
-        self.sizes: dict[str, int] = {}
+        self.bare, self.spaced, self.sizes = Cache(BARE), Cache(SPACED), Cache(SIZES)
         self.newline = self.pack("\n")
 
     def pack(self, text: str) -> bytes:
@@ -46,9 +48,7 @@ class ByteIds:
         ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, held: dict, word: str, front: str) -> bytes | None:
-        if len(held) >= CACHE:
-            held.clear()
+    def _word(self, held: Cache, word: str, front: str) -> bytes | None:
         stem = word.rstrip(MARKS)
         if word.isalpha():
             out = self.pack_letters(front + word)
@@ -58,8 +58,8 @@ class ByteIds:
             out = first + (self.bare[tail] if tail in self.bare else self._word(self.bare, tail, ""))
         else:
             out = None if not word or WHITE.search(word) else self.pack(front + word)
-        held[word] = out
-        return out
+        # A word of another width takes up to four bytes a character.
+        return held.hold(word, out, ENTRY + len(word) * (1 if word.isascii() else 4) + len(out or b""))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -89,9 +89,8 @@ class ByteIds:
     def size(self, pretoken: str) -> int:
         out = self.sizes.get(pretoken)
         if out is None:
-            if len(self.sizes) >= CACHE:
-                self.sizes.clear()
-            out = self.sizes[pretoken] = len(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
+            n = len(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
+            out = self.sizes.hold(pretoken, n, ENTRY + len(pretoken) * (1 if pretoken.isascii() else 4))
         return out
 
 
@@ -102,3 +101,6 @@ def pretokens(text: str) -> list[str]:
 @lru_cache(2)
 def byte_ids(path: str | None) -> ByteIds:
     return ByteIds(path or public_tokenizers.path(VOCABULARY))
+
+
+forgets.append(byte_ids.cache_clear)

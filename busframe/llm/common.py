@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +19,72 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: A key counts as hot when it holds this share of the rows, so at most its inverse of keys are hot.
 HOT_SHARE = 0.002
 HOT_LEAST = 50
+#: At most about so many bytes of a batch, and so many rows, are Python objects at a time.
+SLICE_BYTES = 2 << 20
+SLICE_ROWS = 512
+
+
+class Cache(dict):
+    """What a Python worker keeps between rows and tasks of one stage, in `most` bytes or a little more.
+
+    hold() counts the bytes and empties the cache when they pass the bound. Each stage begins with empty caches."""
+
+    every: weakref.WeakValueDictionary[int, Cache] = weakref.WeakValueDictionary()
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size = most, 0
+        Cache.every[id(self)] = self
+
+    def hold(self, key, value, size: int):
+        if self.size > self.most:
+            self.empty()
+        self.size += size
+        self[key] = value
+        return value
+
+    def empty(self) -> None:
+        self.clear()
+        self.size = 0
+
+
+_stage: int | None = None
+#: Called when a worker begins another stage: they let go of models and the like.
+forgets: list[Callable[[], None]] = []
+
+
+def trimmed() -> None:
+    """Gives memory that isn't used back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def new_stage() -> None:
+    """Workers are used again by later stages; what an earlier one kept goes first."""
+    global _stage
+    if (now := TaskContext.get().stageId()) != _stage:
+        _stage = now
+        for c in list(Cache.every.values()):
+            c.empty()
+        for f in forgets:
+            f()
+        trimmed()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, as in tests, one is made and set."""
+    The folder is the session's spark.checkpoint.dir. Where that is unset and all runs on this machine, as in tests, one
+    is made and set; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="busframe-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/busframe-{uuid.uuid4().hex}/{name}"
@@ -57,28 +117,42 @@ def plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], list[Column
     return out, lambda df: [df[f"c{i}"].alias(n) for i, n in enumerate(names)]
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType, batch: int = 4096) -> DataFrame:
-    """mapInArrow with a function that yields dicts of columns; each becomes a batch of the schema."""
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE_BYTES, SLICE_ROWS at most and one row at least."""
+    for batch in batches:
+        n = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, n):
+            yield batch.slice(k, n)
+
+
+def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with a function that takes sliced batches and yields dicts of columns; each becomes a batch of the schema."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for columns in f(batches):
+        new_stage()
+        for columns in f(sliced(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], type=x.type, from_pandas=False) for x in arrow], schema=arrow)
+        trimmed()
 
     return df.mapInArrow(run, kind)
 
 
-def pack_rows(rows: Iterator[tuple], names: list[str], size: int = 4096) -> Iterator[dict]:
-    """Tuples gathered into dicts of columns of at most size rows."""
+def pack_rows(rows: Iterator[tuple], names: list[str], size: int = 4096, heavy: int | None = None) -> Iterator[dict]:
+    """Tuples gathered into dicts of columns of at most size rows; heavy: the place of a text or bytes whose lengths in
+    a dict sum to little more than SLICE_BYTES."""
     held: list[tuple] = []
+    weight = 0
     for row in rows:
         held.append(row)
-        if len(held) >= size:
+        if heavy is not None:
+            weight += len(row[heavy] or "")
+        if len(held) >= size or weight >= SLICE_BYTES:
             yield dict(zip(names, zip(*held), strict=True))
-            held = []
+            held, weight = [], 0
     if held:
         yield dict(zip(names, zip(*held), strict=True))
 

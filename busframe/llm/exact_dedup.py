@@ -11,9 +11,12 @@ from busframe.llm.common import join_by_hash, map_rows, pack_rows, plain, shared
 
 #: Runs of ASCII white space but for single spaces, which the normal form leaves alone.
 ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-BUCKET = 256
-FLUSH_BYTES = 32 << 20
+BUCKET = 64
+FLUSH_BYTES = 8 << 20
 SLOTS_PER_TASK = 16
+#: Of the docs' size, about so much goes to a slot at most, and to a task.
+SLOT_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 #: A directory doubles so often at most; buckets as deep as that chain what they can't hold.
 DEEPEST = 14
 INDEX = "slot int, bucket string, depth int, h long, chain int, sha binary, keep_id long, group_size long"
@@ -24,6 +27,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), ODD_SPACE, " ")
 
 
+class Entry:
+    """A text of the index: its key, place in the key's chain, bytes, smallest id and number of rows."""
+
+    __slots__ = ("key", "chain", "text", "keep", "rows")
+
+    def __init__(self, key: int, chain: int, text: bytes):
+        self.key, self.chain, self.text, self.keep, self.rows = key, chain, text, None, 0
+
+
 class Directory:
     """Extendible hashing over 64-bit keys: the leading bits choose a directory entry, which names a bucket.
 
@@ -32,25 +44,38 @@ class Directory:
 
     def __init__(self, capacity: int = BUCKET, skip: int = 0):
         self.capacity, self.skip, self.depth = capacity, skip, 0
-        self.entries: list[list] = [[0, 0, []]]  # of each: prefix, local depth, items
+        self.entries: list[list] = [[0, 0, {}]]  # of each: prefix, local depth, chains by key
 
     def _place(self, key: int, depth: int) -> int:
         return (key >> (64 - self.skip - depth)) & ((1 << depth) - 1)
 
-    def insert(self, key: int, item) -> None:
-        bucket = self.entries[self._place(key, self.depth)]
-        bucket[2].append((key, item))
+    def _bucket(self, key: int) -> list:
+        return self.entries[self._place(key, self.depth)]
+
+    def find(self, key: int, text: bytes) -> Entry | None:
+        """The entry of a text: the key names a bucket, the bucket holds the key's chain, and bytes are compared along it."""
+        for entry in self._bucket(key)[2].get(key, ()):
+            if entry.text == text:
+                return entry
+        return None
+
+    def insert(self, key: int, text: bytes) -> Entry:
+        """A new entry at the end of the key's chain."""
+        bucket = self._bucket(key)
+        chain = bucket[2].setdefault(key, [])
+        chain.append(entry := Entry(key, len(chain), text))
         while len(bucket[2]) > self.capacity and bucket[1] < min(DEEPEST, 64 - self.skip):
             if bucket[1] == self.depth:
                 self.entries = [b for b in self.entries for _ in (0, 1)]
                 self.depth += 1
-            prefix, depth, items = bucket
-            halves = [[prefix << 1 | side, depth + 1, [x for x in items if self._place(x[0], depth + 1) == prefix << 1 | side]] for side in (0, 1)]
+            prefix, depth, chains = bucket
+            halves = [[prefix << 1 | side, depth + 1, {k: x for k, x in chains.items() if self._place(k, depth + 1) == prefix << 1 | side}] for side in (0, 1)]
             width = self.depth - depth - 1
             for side, half in enumerate(halves):
                 first = (prefix << 1 | side) << width
                 self.entries[first : first + (1 << width)] = [half] * (1 << width)
             bucket = max(halves, key=lambda b: len(b[2]))
+        return entry
 
     def buckets(self):
         seen = set()
@@ -65,7 +90,7 @@ def _gather(batches):
     held: dict[str, list] = {}
     size = 0
     names = ["h", "text", "keep_id", "n"]
-    flush = lambda: pack_rows(((h, t, i, n) for t, (h, i, n) in held.items()), names, 2048)
+    flush = lambda: pack_rows(((h, t, i, n) for t, (h, i, n) in held.items()), names, 2048, heavy=1)
     for batch in batches:
         for h, t, i in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), batch.column("id").to_pylist(), strict=True):
             x = held.get(t)
@@ -84,44 +109,30 @@ def _gather(batches):
 
 def _owner(bits: int, capacity: int):
     def run(batches):
-        """Rows come sorted by hash. A hash's distinct texts form a chain; a slot's chains go to its own directory."""
-
-        def chains():
-            at, chain = None, []
-            for batch in batches:
-                for h, t, i, n in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "keep_id", "n")), strict=True):
-                    if h != at:
-                        if chain:
-                            yield at, chain
-                        at, chain = h, []
-                    for link in chain:
-                        if link[0] == t:
-                            link[2] += n
-                            if i is not None and (link[1] is None or i < link[1]):
-                                link[1] = i
-                            break
-                    else:
-                        chain.append([t, i, n])
-            if chain:
-                yield at, chain
+        """Rows come sorted by slot, the leading bits of the hash. A slot has a directory of its own, in which each row
+        finds its text's entry or makes one; when the slot is through, its buckets are written."""
 
         def rows():
             slot, directory = None, None
 
             def done():
-                for prefix, depth, items in directory.buckets():
+                for prefix, depth, chains in directory.buckets():
                     name = f"{prefix:0{depth}b}" if depth else ""
-                    for _, (h, k, sha, keep, size) in items:
-                        yield slot, name, depth, h, k, sha, keep, size
-
-            for h, chain in chains():
-                key = h & (1 << 64) - 1
-                if key >> (64 - bits) != slot:
-                    if directory:
-                        yield from done()
-                    slot, directory = key >> (64 - bits), Directory(capacity, bits)
-                for k, (t, i, n) in enumerate(chain):
-                    directory.insert(key, (h, k, hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest(), i, n))
+                    for key, chain in chains.items():
+                        for x in chain:
+                            yield slot, name, depth, key - (1 << 64 if key >> 63 else 0), x.chain, hashlib.sha256(x.text).digest(), x.keep, x.rows
+
+            for batch in batches:
+                for h, t, i, n in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "keep_id", "n")), strict=True):
+                    key, text = h & (1 << 64) - 1, t.encode("utf-8", "surrogatepass")
+                    if key >> (64 - bits) != slot:
+                        if directory:
+                            yield from done()
+                        slot, directory = key >> (64 - bits), Directory(capacity, bits)
+                    x = directory.find(key, text) or directory.insert(key, text)
+                    x.rows += n
+                    if i is not None and (x.keep is None or i < x.keep):
+                        x.keep = i
             if directory:
                 yield from done()
 
@@ -134,14 +145,19 @@ def build_index(docs: DataFrame, capacity: int = BUCKET) -> DataFrame:
     """The index of docs (id, text), written to the shared folder: one row for each distinct normalised text.
 
     Each map task hands on a text once, so that a group of copies of any size is a row a task. The leading bits of
-    the hash are the slots of the first directory; each task owns some of these key ranges, grows a directory for
-    each, and compares the bytes of texts with equal hashes."""
+    the hash are the slots of the first directory; each task owns some of these key ranges and grows a directory for
+    each, in which texts are looked up and compared byte by byte. A task holds one slot's texts, about SLOT_BYTES:
+    the number of slots follows the size that the plan has for docs, that of tasks with it and never below
+    spark.sql.shuffle.partitions, of which adaptive execution joins the small ones."""
     spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = min(size, 1 << 60)  # a plan without statistics has the largest long
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, (tasks * SLOTS_PER_TASK - 1).bit_length())
+    bits = min(30, max(1, (max(tasks * SLOTS_PER_TASK, size // SLOT_BYTES if size < 1 << 60 else 0) - 1).bit_length()))
     norm = docs.select("id", normalised(F.col("text")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = map_rows(norm, _gather, "h long, text string, keep_id long, n long")
-    dealt = rows.repartition(tasks, F.shiftrightunsigned("h", 64 - bits)).sortWithinPartitions("h")
+    rows = map_rows(norm, _gather, "h long, text string, keep_id long, n long").withColumn("slot", F.shiftrightunsigned("h", 64 - bits))
+    wanted = size // TASK_BYTES if size < 1 << 60 else 0
+    dealt = (rows.repartition(wanted, "slot") if wanted > tasks else rows.repartition("slot")).sortWithinPartitions("slot").drop("slot")
     path = shared_folder(spark, "exact-index")
     map_rows(dealt, _owner(bits, capacity), INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busframe.llm.common import HOT_LEAST, HOT_SHARE, join_by_hash, map_rows, pack_rows, plain, written
+from busframe.llm.common import HOT_LEAST, HOT_SHARE, Cache, join_by_hash, map_rows, pack_rows, plain, written
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -18,9 +18,9 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Further coordinates of the nodes in large buckets that have several classes.
 FINER = 1024
-CACHE = 200_000
-#: Rows of a batch whose texts are Python objects at a time.
-SLICE = 128
+#: Bytes of the words' hashes that a worker keeps, and what an entry takes beside the word; keys that a task knows.
+CACHE, ENTRY = 32 << 20, 170
+KEYS = 100_000
 #: Buckets of more members have a second turn of centres before their signatures are compared.
 SMALL = 64
 #: Buckets of more members have turns of centres until one finds no link, so that fewer classes are left to compare.
@@ -47,20 +47,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_words: dict[bytes, int] = {}
+_words = Cache(CACHE)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     held = _words
-    if len(held) > CACHE:
-        held.clear()
     try:
         return np.array([held[w] for w in words], np.uint64)
     except KeyError:
-        for w in words:
-            if w not in held:
-                held[w] = xxhash.xxh64_intdigest(w)
-        return np.array([held[w] for w in words], np.uint64)
+        return np.array([held[w] if w in held else held.hold(w, xxhash.xxh64_intdigest(w), ENTRY + len(w)) for w in words], np.uint64)
 
 
 def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +134,8 @@ def short(sig: np.ndarray) -> bytes:
     return (sig >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def sliced(batches):
-    for batch in batches:
-        for k in range(0, batch.num_rows, SLICE):
-            yield batch.slice(k, SLICE)
-
-
 def _finer(batches):
-    for batch in sliced(batches):
+    for batch in batches:
         sigs = []
         for text in batch.column("text").to_pylist():
             elements, n = shingles(text.encode("utf-8", "surrogatepass").split())
@@ -159,13 +148,13 @@ def _signed(batches):
     seen: set[bytes] = set()
 
     def rows():
-        for batch in sliced(batches):
+        for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
                 own = top = None
                 if key not in seen:
-                    if len(seen) > CACHE:
+                    if len(seen) > KEYS:
                         seen.clear()
                     seen.add(key)
                     if words:
@@ -218,7 +207,7 @@ def _close(batches):
 
     def rows():
         at, held = None, []
-        for batch in sliced(batches):
+        for batch in batches:
             for r in batch.to_pylist():
                 if (block := (r["h"], r["i"], r["j"])) != at:
                     yield from pairs(at, held) if held else ()
@@ -232,7 +221,7 @@ def _close(batches):
 
 def _verified(batches):
     at, own = None, None
-    for batch in sliced(batches):
+    for batch in batches:
         sims = []
         for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("p", "text_p", "text_b")), strict=True):
             if (p, len(a)) != at:
@@ -265,6 +254,15 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(map_rows(both.select("p", "b", "text_p", "text_b"), _verified, "p long, b long, sim double"), "sims")
 
 
+def followed(roots: DataFrame, then: DataFrame) -> DataFrame:
+    """roots (node, root) with to, the root that then (node, root) has for their root; null if it has none.
+
+    A root of many nodes is a hot key: its rows are dealt out and its one row of then is broadcast."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    right = then.select(F.col("node").alias("root"), F.col("root").alias("to")).join(sizes, "root")
+    return join_by_hash(roots, right, "root", "n", roots.count(), F.col("node")).drop("n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node it is connected with) of each node of edges (u, v).
 
@@ -276,8 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
         ways = left.unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parents = written(ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "parents")
         while True:
-            next_ = parents.select(F.col("node").alias("at"), F.col("root").alias("to"))
-            jumped = written(parents.join(next_, F.col("root") == F.col("at")).select("node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("moved")), "jumped")
+            jumped = written(followed(parents, parents).select("node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("moved")), "jumped")
             parents = jumped.select("node", "root")
             if jumped.filter("moved").isEmpty():
                 break
@@ -287,23 +284,22 @@ def components(edges: DataFrame) -> DataFrame:
         if out is None:
             out = parents
         else:
-            then = parents.select(F.col("node").alias("at"), F.col("root").alias("to"))
-            out = written(out.join(then, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            out = written(followed(out, parents).select("node", F.coalesce("to", "root").alias("root")), "roots")
     return left.sparkSession.createDataFrame([], "node long, root long") if out is None else out
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots (node, root) after links (p, b) have joined the classes they connect; written."""
     a, b = roots.select(F.col("node").alias("p"), F.col("root").alias("u")), roots.select(F.col("node").alias("b"), F.col("root").alias("v"))
-    then = components(links.join(a, "p").join(b, "b").select("u", "v")).select(F.col("node").alias("at"), F.col("root").alias("to"))
-    return written(roots.join(then, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+    then = components(links.join(a, "p").join(b, "b").select("u", "v"))
+    return written(followed(roots, then).select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
 def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """h, m, rep and root of the members of those buckets that have more than one class; written."""
     tagged = written(members.select("h", "m", "rep").join(roots.withColumnRenamed("node", "rep"), "rep").select("h", "m", "rep", "root"), "tagged")
-    several = tagged.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-    return written(tagged.join(several, "h", "left_semi"), "mixed")
+    several = tagged.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("h", "n")
+    return written(join_by_hash(tagged, several, "h", "n", tagged.count(), F.col("rep")).filter("n is not null").drop("n"), "mixed")
 
 
 def starred(now: DataFrame, turn: int) -> DataFrame:
@@ -311,9 +307,9 @@ def starred(now: DataFrame, turn: int) -> DataFrame:
     id is the centre, then two others each turn."""
     by = F.xxhash64("h", F.lit(turn)) if turn else F.lit(0).cast("long")
     one = F.struct(F.col("rep").bitwiseXOR(by).alias("r"), "rep", "root")
-    centres = now.groupBy("h").agg(F.array(F.min(one), F.max(one)).alias("x") if turn else F.array(F.min(one)).alias("x"))
-    centres = centres.select("h", F.explode("x").alias("x")).select("h", F.col("x.rep").alias("q"), F.col("x.root").alias("q_root"))
-    pairs = now.join(centres, "h").filter("root <> q_root")
+    centres = now.groupBy("h").agg(F.array(F.min(one), F.max(one)).alias("x") if turn else F.array(F.min(one)).alias("x"), F.count("*").alias("n"))
+    met = join_by_hash(now, centres, "h", "n", now.count(), F.col("rep")).select("rep", "root", F.explode("x").alias("x"))
+    pairs = met.select("rep", "root", F.col("x.rep").alias("q"), F.col("x.root").alias("q_root")).filter("root <> q_root")
     return pairs.select(F.least("rep", "q").alias("p"), F.greatest("rep", "q").alias("b")).distinct()
 
 

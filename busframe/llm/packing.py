@@ -129,7 +129,7 @@ def _tokenise(size: int, vocabulary: str | None, keep_ids: bool):
                     seen[first] += 1
                     whole += len(crcs) - (first < size)
 
-        yield from pack_rows(rows(), [x.split()[0] for x in TOKENISED.split(", ")], 1024)
+        yield from pack_rows(rows(), [x.split()[0] for x in TOKENISED.split(", ")], 1024, heavy=7)
 
     return run
 
@@ -154,7 +154,7 @@ def _placed(plan: Plan, size: int, keep_ids: bool):
                         yield i, k, start, length, crc, where, offset, *([ids[4 * start : 4 * (start + length)]] if keep_ids else [])
                         start += length
 
-        yield from pack_rows(rows(), [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * keep_ids)
+        yield from pack_rows(rows(), [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * keep_ids, heavy=7 if keep_ids else None)
 
     return run
 

@@ -12,26 +12,26 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from busframe.llm.common import map_rows, plain
+from busframe.llm.common import Cache, forgets, map_rows, plain
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 600_000
+#: Bytes of the caches of chunks behind a space, of other chunks and of pairs; what an entry takes beside its texts.
+SPACED, BARE, PAIRS = 128 << 20, 48 << 20, 48 << 20
+ENTRY = 190
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 
 
-class _Cache(dict):
-    """Ids of chunks, as bytes; emptied when it holds CACHE of them."""
+class _Chunks(Cache):
+    """Ids of chunks, as bytes."""
 
-    def __init__(self, make):
-        super().__init__()
+    def __init__(self, make, most):
+        super().__init__(most)
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
+        out = self.make(key)
+        return self.hold(key, out, ENTRY + len(out) + len(key) * (1 if key.isascii() else 4))
 
 
 class Pieces:
@@ -73,13 +73,13 @@ class Pieces:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.alone: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Cache(PAIRS)
         #: Characters that no longer piece holds; a text can be cut beside them.
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.newline_cuts = "\n" not in inner
         #: Spaces stand only at the front of a piece or make up all of it, so a text can be cut before a run of them.
         assert all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        self.with_space, self.bare = _Cache(lambda w: self._bytes(SPACE + w)), _Cache(self._bytes)
+        self.with_space, self.bare = _Chunks(lambda w: self._bytes(SPACE + w), SPACED), _Chunks(self._bytes, BARE)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
         self.newline = self._bytes("\n")
 
@@ -101,9 +101,7 @@ class Pieces:
         """Whether merging a and b together leaves them as they are."""
         out = self.pairs.get((a, b))
         if out is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            out = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            out = self.pairs.hold((a, b), self.merged(a + b) == [a, b], ENTRY)
         return out
 
     def stands(self, piece: str) -> bool:
@@ -195,6 +193,9 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+forgets.append(pieces.cache_clear)
+
+
 def _encode(path: str | None):
     def run(batches):
         own = pieces(path or public_tokenizers.path(MODEL))

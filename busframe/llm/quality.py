@@ -8,12 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busframe.llm.common import ASCII_SPACE, map_rows, plain
+from busframe.llm.common import ASCII_SPACE, map_rows, new_stage, plain, sliced, trimmed
 
 SYMBOLS = "#*$%&|<>"
-#: The field is fitted on the lines of at most this many labelled documents of at most so many characters each.
+#: The field is fitted on at most this many labelled documents of at most so many characters and lines each.
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 20_000
+SAMPLE_LINES = 300
 CONTENT_SHARE = 0.5
 LABELS = ("boilerplate", "content")
 
@@ -164,15 +165,19 @@ def _features(batches):
         yield {"quality": batch.column("quality").to_pylist(), "x": [v.astype("<f8").tobytes() for v in x]}
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
+def fit_field(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_lines: int = SAMPLE_LINES) -> Field:
     """The field fitted on a sample of labelled rows: those of docs with a quality label whose ids hash lowest.
 
-    The sample is bounded by sample_docs documents of sample_chars characters, whatever the size of docs. Without
-    labelled rows of both kinds the field has no weights, and all lines are content."""
-    few = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("rid"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("rid"), "rid").limit(sample_docs)
+    The sample is bounded by sample_docs documents of sample_chars characters and sample_lines lines, whatever the size
+    of docs; the driver gets at most sample_docs * sample_lines * N_FEATURES numbers. Of labels that share a doc_id the
+    least counts, of documents that do the least text. Without labelled rows of both kinds the field has no weights,
+    and all lines are content."""
+    labelled = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("rid")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    few = labelled.orderBy(F.xxhash64("rid"), "rid").limit(sample_docs)
     base = plain(docs)[0].select("id", "text")
-    rows = base.join(F.broadcast(few), F.col("id") == F.col("rid")).filter(F.length("text") <= sample_chars)  # few has at most sample_docs rows
-    found = map_rows(rows.select("quality", "text"), _features, "quality int, x binary").limit(sample_docs).collect()
+    rows = base.join(F.broadcast(few), F.col("id") == F.col("rid")).filter((F.length("text") <= sample_chars) & (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < sample_lines))  # few has at most sample_docs rows
+    once = rows.groupBy("rid").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    found = map_rows(once.select("quality", "text"), _features, "quality int, x binary").collect()
     found.sort(key=lambda r: (r["quality"], bytes(r["x"])))
     if len({r["quality"] for r in found}) < 2:
         return Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
@@ -214,7 +219,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE)
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        new_stage()
+        for batch in sliced(batches):
             yield batch.filter(pa.array([judged(t or "", field, share)["kept"] for t in batch.column(at).to_pylist()], pa.bool_()))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
