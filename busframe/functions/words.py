@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MESSAGE_TYPES = (0x01, 0x02, 0x04, 0x08, 0x10, 0x18, 0x20)
+# What reports call the types and the error codes.
+TYPE_TITLES = {0x01: "Mode Command", 0x02: "BC->RT (Receive)", 0x04: "RT->BC (Transmit)", 0x08: "RT->RT", 0x10: "Broadcast BC->RT", 0x18: "Broadcast RT->RT", 0x20: "Spurious Data"}
+ERROR_TITLES = {0x011E: "Manchester/Parity Error or Bit Count Error", 0x0120: "No Status Response or Too Few Data Words", 0x0136: "Inverted Sync on Data Word", 0x0140: "Too Many Data Words", 0x0150: "Unknown DDC Error"}
+#: Codes that are given to spurious records: behind an errored one, and alone.
+SPURIOUS_CODES = (0x2000, 0x2001)
 
 
 def bits(word: Column, low: int, width: int) -> Column:
@@ -65,4 +70,28 @@ def delta_text(delta_us: Column) -> Column:
 
 def mux(name: Column, delimiter: str = ".", field: int = 4) -> Column:
     """A field of a file name, from 0 or from the end, trimmed; null if there is none."""
-    return F.nullif(F.trim(F.split_part(name, F.lit(delimiter), F.lit(field + 1 if field >= 0 else field))), F.lit(""))
+    part = F.split_part(name, F.lit(delimiter), F.lit(field + 1 if field >= 0 else field))
+    return F.nullif(F.regexp_replace(part, r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+def known_error(code: Column) -> Column:
+    return code.isin(*ERROR_TITLES)
+
+
+def known_code(code: Column) -> Column:
+    return code.isin(*ERROR_TITLES, *SPURIOUS_CODES)
+
+
+def titled(value: Column, titles: dict[int, str], other: Column) -> Column:
+    """The title of a value, or other."""
+    pairs = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, value), other)
+
+
+def vendor_us(text: Column) -> Column:
+    """Microseconds of a clock text D:HH:MM:SS.uuuuuu, as irig_us has them; null if it isn't one. Of the decimals the
+    first six count."""
+    form = r"^\s*(\d+):(\d+):(\d+):(\d+)(?:\.(\d*))?\s*$"
+    part = lambda k: F.regexp_extract(text, form, k)
+    whole = ((part(1).cast("long") * 24 + part(2).cast("long")) * 60 + part(3).cast("long")) * 60 + part(4).cast("long")
+    return F.when(text.rlike(form), whole * 1_000_000 + F.rpad(part(5), 6, "0").cast("long"))

@@ -28,6 +28,19 @@ def reject_reason(fmt: Column, direction: Column, n: Column, word_count: Column,
     )
 
 
+def late_reject_reason(fmt: Column, dir2: Column, n: Column, n2: Column) -> Column:
+    """The rule that the second command of a transfer between terminals breaks, or null: it receives, as many words as are sent."""
+    between = fmt.isin("RT_TO_RT", "RT_TO_RT_BROADCAST")
+    return F.when(between & (dir2 == 1), "CMD2_DIRECTION").when(between & (n != n2), "CMD2_COUNT")
+
+
+def status_word(w: Column) -> dict[str, Column]:
+    """The terminal and the flag bits of a status word."""
+    flag = lambda k: F.shiftright(w, k).bitwiseAND(1) == 1
+    names = {"message_error": 10, "instrumentation": 9, "service_request": 8, "broadcast_received": 4, "busy": 3, "subsystem": 2, "dynamic_bus": 1, "terminal": 0}
+    return {"rt": F.shiftright(w, 11).bitwiseAND(31)} | {k: flag(v) for k, v in names.items()}
+
+
 def anomalies(status: Column, rt: Column, reserved: Column) -> Column:
     return F.array_compact(F.array(F.when(F.shiftright(status, 11).bitwiseAND(31) != rt, "STATUS_RT"), F.when(reserved, "RESERVED_BIT")))
 
@@ -44,9 +57,9 @@ def invalid_reason(t: dict[str, Column], msg_type: Column, word_count: Column, o
 def payload(fmt: Column, w: Column, p: Column, n: Column) -> dict[str, Column]:
     """Status and data words of a record's words w, whose command stands before place p (from 0); short reads are null or empty."""
     words = lambda at: F.when(at + n <= F.size(w), F.slice(w, at + 1, n)).otherwise(F.array().cast("array<int>"))
-    one = F.when(p < F.size(w), F.slice(w, p + 1, 1)).otherwise(F.array().cast("array<int>"))
+    one = lambda at: F.when(at < F.size(w), F.slice(w, at + 1, 1)).otherwise(F.array().cast("array<int>"))
     status = F.when(fmt.isin("TRANSMIT", "MODE_CODE_TX_DATA", "MODE_CODE_NO_DATA"), F.get(w, p)).when(fmt == "RECEIVE", F.get(w, p + n)).when(fmt == "MODE_CODE_RX_DATA", F.get(w, p + 1)).when(fmt.isin("RT_TO_RT", "RT_TO_RT_BROADCAST"), F.get(w, p + 1))
-    data = F.when(fmt.isin("RECEIVE", "RECEIVE_BROADCAST"), words(p)).when(fmt == "TRANSMIT", words(p + 1)).when(fmt.isin("RT_TO_RT", "RT_TO_RT_BROADCAST"), words(p + 2)).when(fmt.isin("MODE_CODE_RX_DATA", "MODE_CODE_BCAST_DATA"), one).otherwise(F.array().cast("array<int>"))
+    data = F.when(fmt.isin("RECEIVE", "RECEIVE_BROADCAST"), words(p)).when(fmt == "TRANSMIT", words(p + 1)).when(fmt.isin("RT_TO_RT", "RT_TO_RT_BROADCAST"), words(p + 2)).when(fmt.isin("MODE_CODE_RX_DATA", "MODE_CODE_BCAST_DATA"), one(p)).when(fmt == "MODE_CODE_TX_DATA", one(p + 1)).otherwise(F.array().cast("array<int>"))
     return {"status": status, "data_words": F.slice(data, 1, 32)}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busframe.functions import words as W
@@ -34,7 +34,7 @@ def decode(frames: DataFrame, tick_rate_hz: float | None = None, mux_delimiter:
     own = C.payload(F.col("fmt"), w, ts + 2, F.when(between, F.col("n2")).otherwise(F.col("n")))
     rest = lambda at, n: F.slice(w, at + 1, F.greatest(F.lit(0), F.least(F.lit(32), n)))
     early = C.reject_reason(F.col("fmt"), F.col("dir"), F.col("n"), F.col("word_count"), ts)
-    late = F.when(between & (F.col("dir2") == 1), "CMD2_DIRECTION").when(between & (F.col("n") != F.col("n2")), "CMD2_COUNT")
+    late = C.late_reject_reason(F.col("fmt"), F.col("dir2"), F.col("n"), F.col("n2"))
     df = df.withColumns({
         "reject_reason": F.when(normal, F.coalesce(early, late)),
         "status": F.when(normal, own["status"]),
@@ -50,10 +50,36 @@ def decode(frames: DataFrame, tick_rate_hz: float | None = None, mux_delimiter:
 
 def accepted(messages: DataFrame) -> DataFrame:
     """Messages that no structural rule rejects, with delta_us within their file; spurious and untimed ones have none."""
-    df = messages.filter("reject_reason is null")
-    w = Window.partitionBy("file_idx", *S.KEY).orderBy("seq")
-    before = F.lag("us").over(w)
-    return df.withColumn("delta_us", F.when(F.col("us").isNotNull() & F.col("rt").isNotNull(), F.when(before.isNull(), F.lit(0)).when(F.col("us") >= before, F.col("us") - before)))
+    return S.timed_gaps(messages.filter("reject_reason is null"), S.delta_per_file)
+
+
+def unknown_error(messages: DataFrame) -> Column:
+    """Whether an errored message has an error word that no title is known for; its code stays as it is."""
+    return F.coalesce(F.col("is_err") & ~F.col("spurious") & ~W.known_error(F.col("error_word")), F.lit(False))
+
+
+def summary(messages: DataFrame) -> DataFrame:
+    """A row a file: accepted and rejected messages, the first accepted one (lead: seq, ts_format, freerun), and the
+    first that strict mode doesn't take (fault: seq, offset, reason)."""
+    taken = F.col("reject_reason").isNull()
+    reason = F.coalesce("reject_reason", F.when(unknown_error(messages), "UNKNOWN_ERROR_CODE"))
+    return messages.groupBy("file_idx", "path").agg(
+        F.count_if(taken).alias("accepted"), F.count_if(~taken).alias("rejected"),
+        F.min(F.when(taken, F.struct("seq", "ts_format", "freerun"))).alias("lead"),
+        F.min(F.when(reason.isNotNull(), F.struct("seq", "offset", reason.alias("reason")))).alias("fault"),
+    )
+
+
+def events(messages: DataFrame) -> DataFrame:
+    """What is worth telling of each file's messages: event, how often, and the offset of the first.
+
+    Events are the reasons of rejects and anomalies, unknown error codes, freerunning clocks, and the advice that days of
+    an absolute clock depend on the recorder's firmware (once a file)."""
+    day = F.when((F.col("ts_format") == "IRIG") & ~F.col("freerun"), F.lit("CLOCK_DAY"))
+    own = F.array(F.col("reject_reason"), F.when(unknown_error(messages), "UNKNOWN_ERROR_CODE"), F.when(F.col("freerun"), "FREERUN"), day)
+    each = messages.select("file_idx", "path", "offset", F.explode(F.array_compact(F.concat(own, F.when(F.col("reject_reason").isNull(), F.col("anomalies")).otherwise(F.array().cast("array<string>"))))).alias("event"))
+    counted = each.groupBy("file_idx", "path", "event").agg(F.count("*").alias("n"), F.min("offset").alias("first_offset"))
+    return counted.withColumn("n", F.when(F.col("event") == "CLOCK_DAY", 1).otherwise(F.col("n")).cast("long"))
 
 
 #: What makes two messages the same on the wire.

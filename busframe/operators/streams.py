@@ -4,38 +4,78 @@ A stream is a DataFrame with file_idx, seq (place in the file), us, rt, sa, dir.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("rt", "sa", "dir")
+#: Places of a stream that one task of a window holds at most.
+BLOCK = 1 << 20
 
 
 def _gap(us: Column, before: Column) -> Column:
-    return F.when(before.isNull(), F.lit(0)).when(us >= before, us - before).cast("long")
+    return F.when(before.isNull(), us - us).when(us >= before, us - before)
+
+
+def _with_blocks(df: DataFrame, per_block: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of per_block for its keys and block; nulls are keys like others."""
+    own = per_block.withColumnsRenamed({k: f"own_{k}" for k in [*keys, "block"]})
+    same = F.col("block") == F.col("own_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"own_{k}"))
+    return df.join(own, same).drop(*[f"own_{k}" for k in [*keys, "block"]])
+
+
+def carried_lag(df: DataFrame, keys: list[str], order: str, value: str, block: int = BLOCK) -> DataFrame:
+    """before: the value of the row before in its keys. Values are not null; order is a long. A key is cut into
+    blocks of order, so none is too large for a task; the last value of each block is carried by a small table."""
+    df = df.withColumn("block", F.floor(F.col(order) / block).cast("long"))
+    ends = df.groupBy(*keys, "block").agg(F.max_by(value, order).alias("end"))
+    over = Window.partitionBy(*keys).orderBy("block") if keys else Window.orderBy("block")
+    ends = ends.withColumn("carried", F.lag("end").over(over)).drop("end")
+    inside = F.lag(value).over(Window.partitionBy(*keys, "block").orderBy(order))
+    return _with_blocks(df.withColumn("inside", inside), ends, keys).withColumn("before", F.coalesce("inside", "carried")).drop("block", "inside", "carried")
+
+
+def carried_max(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """out: the greatest value up to a row in its keys, by blocks as in carried_lag."""
+    df = df.withColumn("block", F.floor(F.col(order) / block).cast("long"))
+    tops = df.groupBy(*keys, "block").agg(F.max(value).alias("top"))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("carried", F.max("top").over(earlier)).drop("top")
+    upto = Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _with_blocks(df.withColumn("inside", F.max(value).over(upto)), tops, keys).withColumn(out, F.greatest("inside", "carried")).drop("block", "inside", "carried")
 
 
-def delta_per_file(df: DataFrame) -> DataFrame:
+def delta_per_file(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """delta_us since the last message of the same key in the file: 0 for the first, null after a backward step."""
-    w = Window.partitionBy("file_idx", *KEY).orderBy("seq")
-    return df.withColumn("delta_us", _gap(F.col("us"), F.lag("us").over(w)))
+    return carried_lag(df, ["file_idx", *KEY], "seq", "us", block).withColumn("delta_us", _gap(F.col("us"), F.col("before"))).drop("before")
+
 
+def timed_gaps(df: DataFrame, gaps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the delta_us that gaps gives messages with a clock and a key; the others have none and count in no gap."""
+    timed = F.col("us").isNotNull() & F.col("rt").isNotNull()
+    some = gaps(df.filter(timed))
+    return some.unionByName(df.filter(~timed).withColumn("delta_us", F.lit(None).cast(some.schema["delta_us"].dataType)))
 
-def backward_steps(df: DataFrame) -> DataFrame:
-    """Of each file and key, the first message earlier than the one before it."""
-    w = Window.partitionBy("file_idx", *KEY).orderBy("seq")
-    back = df.withColumn("before", F.lag("us").over(w)).filter("us < before")
+
+def backward_steps(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Of each file and key, the first message earlier than the one before it, and how many there are."""
+    timed = df.filter("us is not null and rt is not null")
+    back = carried_lag(timed, ["file_idx", *KEY], "seq", "us", block).filter("us < before")
     return back.groupBy("file_idx", *KEY).agg(F.min("seq").alias("first_seq"), F.count("*").alias("steps"))
 
 
-def merge_key(df: DataFrame) -> DataFrame:
+def merge_key(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """run_max: ordering by run_max, file_idx, seq is the order of a merge of files that may step backward."""
-    w = Window.partitionBy("file_idx").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("run_max", F.max("us").over(w))
+    return carried_max(df, ["file_idx"], "seq", "us", "run_max", block)
 
 
-def delta_global(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*KEY).orderBy("run_max", "file_idx", "seq")
-    return merge_key(df).withColumn("delta_us", _gap(F.col("us"), F.lag("us").over(w)))
+def delta_global(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """delta_us since the last message of the same key in the merged stream; with its position pos."""
+    df = df if "pos" in df.columns else positions(df)
+    return carried_lag(df, list(KEY), "pos", "us", block).withColumn("delta_us", _gap(F.col("us"), F.col("before"))).drop("before")
 
 
 def collapse_exact(df: DataFrame, content: list[str]) -> DataFrame:
@@ -45,9 +85,9 @@ def collapse_exact(df: DataFrame, content: list[str]) -> DataFrame:
 
 def spurious_code(df: DataFrame) -> DataFrame:
     """code of spurious records: 2000 right behind an errored record of the same file and epoch, else 2001."""
-    w = Window.partitionBy("file_idx", "epoch").orderBy("seq")
-    behind = F.coalesce(F.lag(F.col("is_err") & ~F.col("spurious")).over(w), F.lit(False))
-    return df.withColumn("code", F.when(F.col("spurious"), F.when(behind, "2000").otherwise("2001")))
+    df = df.withColumn("erred", (F.col("is_err") & ~F.col("spurious")).cast("int"))
+    behind = F.coalesce(F.col("before") == 1, F.lit(False))
+    return carried_lag(df, ["file_idx", "epoch"], "seq", "erred").withColumn("code", F.when(F.col("spurious"), F.when(behind, "2000").otherwise("2001"))).drop("erred", "before")
 
 
 def _member(column: str, values) -> Column:
@@ -87,18 +127,7 @@ def positions(df: DataFrame, span: int = 60_000_000) -> DataFrame:
     return df.withColumn("inside", inside).join(ahead, "span").withColumn("pos", F.col("ahead") + F.col("inside") - 1).drop("span", "inside", "ahead")
 
 
-def carried_lag(df: DataFrame, keys: list[str], order: str, value: str, block: int = 1 << 20) -> DataFrame:
-    """before: the value of the row before in its keys. Keys and value are not null; order is a long. A key is cut into
-    blocks of order, so none is too large for a task; the last value of each block is carried by a small table."""
-    df = df.withColumn("block", F.floor(F.col(order) / block).cast("long"))
-    ends = df.groupBy(*keys, "block").agg(F.max_by(value, order).alias("end"))
-    over = Window.partitionBy(*keys).orderBy("block") if keys else Window.orderBy("block")
-    ends = ends.withColumn("carried", F.lag("end").over(over)).drop("end")
-    inside = F.lag(value).over(Window.partitionBy(*keys, "block").orderBy(order))
-    return df.withColumn("inside", inside).join(ends, [*keys, "block"]).withColumn("before", F.coalesce("inside", "carried")).drop("block", "inside", "carried")
-
-
-def runs(df: DataFrame, group: str = "us", block: int = 1 << 20) -> DataFrame:
+def runs(df: DataFrame, group: str = "us", block: int = BLOCK) -> DataFrame:
     """run: the number of the run of consecutive equal values of group that a row of a stream (pos) is in."""
     df = carried_lag(df, [], "pos", group, block)
     df = df.withColumn("step", F.coalesce((F.col("before") != F.col(group)).cast("long"), F.lit(0))).withColumn("block", F.floor(F.col("pos") / block).cast("long"))
@@ -108,7 +137,7 @@ def runs(df: DataFrame, group: str = "us", block: int = 1 << 20) -> DataFrame:
     return df.withColumn("upto", upto).join(sums, "block").withColumn("run", F.col("base") + F.col("upto")).drop("block", "base", "upto", "step", "before")
 
 
-def canonical_order_any(df: DataFrame, cap: int = 4096, block: int = 1 << 20) -> DataFrame:
+def canonical_order_any(df: DataFrame, cap: int = 4096, block: int = BLOCK) -> DataFrame:
     """canonical_order of a stream (pos, us not null) that may step backward: runs take the part of timestamps.
 
     Ordering by run, chunk, place is the order of the output."""
@@ -155,8 +184,14 @@ def collapse_window(df: DataFrame, content: list[str], window_us: int) -> DataFr
 
 def file_backward(df: DataFrame) -> DataFrame:
     """Of each file that steps backward the first message that does, and the time before it."""
-    df = df.withColumn("before", F.lag("us").over(Window.partitionBy("file_idx").orderBy("seq"))).filter("us < before")
-    return df.groupBy("file_idx").agg(F.min(F.struct("seq", "before", "us")).alias("x")).select("file_idx", "x.seq", "x.before", "x.us")
+    back = carried_lag(df.filter("us is not null"), ["file_idx"], "seq", "us").filter("us < before")
+    return back.groupBy("file_idx").agg(F.min(F.struct("seq", "before", "us")).alias("x")).select("file_idx", "x.seq", "x.before", "x.us")
+
+
+def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """A row with how many messages there are, how many keys, and how many messages repeat one."""
+    n = df.groupBy(*keys).count()
+    return n.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("messages"), F.count("*").alias("keys")).withColumn("repeats", F.col("messages") - F.col("keys"))
 
 
 RULES = {
@@ -165,7 +200,7 @@ RULES = {
 UNITS = {"seconds": 1e6, "milliseconds": 1e3, "microseconds": 1.0}
 
 
-def delta_rules(df: DataFrame, decimals: int = 6, block: int = 1 << 20) -> DataFrame:
+def delta_rules(df: DataFrame, decimals: int = 6, block: int = BLOCK) -> DataFrame:
     """How well each rule for a gap explains the column actual of a stream (pos, us, rt, sa, dir, bus): rule, unit, first
     (what a key's first message shows), matched and comparable. A message without clock or key should show nothing."""
     # Joining by || and not concat_ws: a missing part makes the key missing.

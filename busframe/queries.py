@@ -93,11 +93,12 @@ def invariant_reject(spark, d):
     return records(spark, d).select("l_orderkey", "l_linenumber", C.reject_reason(F.col("fmt"), F.col("dir"), F.col("n"), F.col("wc"), F.lit(3)).alias("reason"))
 
 
-@query(f"""select l_orderkey, l_linenumber, case when u & 127 not in (1, 2, 4, 8, 16, 24, 32) then 'UNKNOWN_TYPE' when (u >> 8) & 63 < 5 then 'WORD_COUNT' when hour_ >= 24 then 'HOUR' when minute_ >= 60 then 'MINUTE'
+@query(f"""select l_orderkey, l_linenumber, case when l_orderkey % 50 * 2 + 2 > 98 - v % 4 then 'UNREADABLE' when u & 127 not in (1, 2, 4, 8, 16, 24, 32) then 'UNKNOWN_TYPE' when (u >> 8) & 63 < 5 then 'WORD_COUNT'
+when l_orderkey % 50 * 2 + 2 * ((u >> 8) & 63) > 98 - v % 4 then 'TRUNCATED' when hour_ >= 24 then 'HOUR' when minute_ >= 60 then 'MINUTE'
 when second_ >= 60 then 'SECOND' when micros_ > 999999 then 'MICROS' when not freerun_ and (day_ < 1 or day_ > 366) then 'DAY' end reason from ({IRIG})""")
 def validate_reason(spark, d):
     t, tw = W.irig(F.col("u"), F.col("v"), F.col("x")), W.type_word(F.col("u"))
-    return lines(spark, d).select("l_orderkey", "l_linenumber", C.invalid_reason(t, tw["msg_type"], tw["word_count"], F.lit(0), F.lit(1 << 20), 5).alias("reason"))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", C.invalid_reason(t, tw["msg_type"], tw["word_count"], F.col("l_orderkey") % 50 * 2, 98 - F.col("v") % 4, 5).alias("reason"))
 
 
 @query(f"""select l_orderkey, irig, standard, case when greatest(irig, standard) < 4 or abs(irig - standard) < 3 then 'AMBIGUOUS' when greatest(irig, standard) >= 8 and abs(irig - standard) >= 6 then 'DECISIVE' else 'MARGINAL' end confidence
@@ -123,11 +124,6 @@ def delta_global(spark, d):
     return S.delta_global(events(spark, d)).select("event_id", "delta_us")
 
 
-@query(f"select file_idx, {KEYS}, min(seq) first_seq, count(*) steps from (select *, lag(us) over (partition by file_idx, {KEYS} order by seq) b from {EVENTS}) where us < b group by all")
-def delta_backward(spark, d):
-    return S.backward_steps(events(spark, d))
-
-
 @query(f"select event_id, run_max from {MERGED}")
 def merge_order(spark, d):
     return S.merge_key(events(spark, d)).select("event_id", "run_max")
@@ -192,12 +188,52 @@ def merge_position(spark, d):
     return S.positions(events(spark, d), 3_600_000_000).select("event_id", "pos")
 
 
-STEPPING = f"(select event_id, file_idx, seq, us + (event_id % 7) * 7200000000 us from {EVENTS})"
+STEPPING = f"(select event_id, file_idx, seq, rt, sa, dir, us + (event_id % 7) * 7200000000 us from {EVENTS})"
+
+
+def _stepping(spark, d, step=7200000000):
+    return events(spark, d).withColumn("us", F.col("us") + (F.col("event_id") % 7) * step)
+
+
+#: Between two messages of a key lie some days, so a key only steps backward by much.
+FAR = 2592000000000
+
+
+@query(f"select file_idx, sa, dir, min(seq) first_seq, count(*) steps from (select *, lag(us) over (partition by file_idx, sa, dir order by seq) b from (select * replace (us + (event_id % 7) * {FAR} as us) from {EVENTS})) where us < b group by all")
+def delta_backward(spark, d):
+    """With one terminal, so that keys come often enough to step backward."""
+    return S.backward_steps(_stepping(spark, d, FAR).withColumn("rt", F.lit(1))).drop("rt")
+
+
+TIMED = f"(select event_id, file_idx, seq, case when event_id % 11 > 0 then us end us, case when not is_err then rt % 4 end rt, sa % 4 sa, dir from {EVENTS})"
+
+
+def _timed(spark, d):
+    e = events(spark, d)
+    return e.withColumns({"us": F.when(F.col("event_id") % 11 > 0, F.col("us")), "rt": F.when(~F.col("is_err"), F.col("rt") % 4), "sa": F.col("sa") % 4})
+
+
+@query(f"select e.event_id, g.delta_us from {TIMED} e left join (select event_id, case when b is null then 0 when us >= b then us - b end delta_us from (select *, lag(us) over (partition by file_idx, {KEYS} order by seq) b from {TIMED} where us is not null and rt is not null)) g using (event_id)")
+def delta_of_timed(spark, d):
+    """Messages without a clock or a key have no gap and count in none."""
+    return S.timed_gaps(_timed(spark, d), lambda x: S.delta_per_file(x, 4096)).select("event_id", "delta_us")
+
+
+@query(f"select count(*) messages, count(distinct (rt, sa, dir)) keys, count(*) - count(distinct (rt, sa, dir)) repeats from {TIMED} where rt is not null")
+def repeated_keys(spark, d):
+    return S.repeated_keys(_timed(spark, d).filter("rt is not null"), *S.KEY)
+
+
+@query(f"select cast(count(*) filter (where rt in (3, 4, 5, 6) and dir = 1 and not sa in (7)) as bigint) passed, cast(count(*) filter (where not (rt in (3, 4, 5, 6) and dir = 1 and not sa in (7))) as bigint) excluded from {EVENTS}")
+def filter_tally(spark, d):
+    e = events(spark, d)
+    n, kept = e.agg(F.count("*").alias("n")), S.keep_messages(e, {"sa": [7]}, {"rt": [3, 4, 5, 6], "dir": [1]}).agg(F.count("*").alias("passed"))
+    return n.join(F.broadcast(kept)).select("passed", (F.col("n") - F.col("passed")).alias("excluded"))  # a row each
 
 
 @query(f"select file_idx, min(seq) seq, min_by(b, seq) before, min_by(us, seq) us from (select *, lag(us) over (partition by file_idx order by seq) b from {STEPPING}) where us < b group by 1")
 def monotonic_check(spark, d):
-    return S.file_backward(events(spark, d).withColumn("us", F.col("us") + (F.col("event_id") % 7) * 7200000000))
+    return S.file_backward(_stepping(spark, d))
 
 
 def _back(spark, d):
@@ -230,12 +266,70 @@ def delta_rule_rank(spark, d):
     return S.delta_rules(g.withColumn("actual", actual), 6, 4096)
 
 
+DAY = 86_400_000_000
+COLLAPSED = f"""with recursive e as (select *, row_number() over (partition by s, dir order by run_max, file_idx, seq) n from (select *, sa % 8 s from {MERGED})),
+f as (select s, dir, cast(0 as bigint) n, cast([] as struct(us bigint, f int)[]) kept, cast(-1 as bigint) event_id, false keep from e group by s, dir
+union all select s, dir, n, case when twin then kept else list_append(list_filter(kept, lambda k: us - k.us <= {DAY}), {{'us': us, 'f': file_idx}}) end, event_id, not twin
+from (select e.*, f.kept, len(list_filter(f.kept, lambda k: k.f <> e.file_idx and abs(k.us - e.us) <= {DAY})) > 0 twin from f join e on e.s = f.s and e.dir = f.dir and e.n = f.n + 1))
+select event_id from f where keep"""
+
+
+@query(COLLAPSED)
 def collapse_window(spark, d):
-    """Greedy, so without SQL; tests hold it against a plain loop."""
-    return S.collapse_window(events(spark, d), ["sa", "dir"], 600_000_000).select("event_id")
+    """Greedy: a message goes if one before it that stays has its content; tests also hold streams that step backward against a plain loop."""
+    return S.collapse_window(events(spark, d).withColumn("s", F.col("sa") % 8), ["s", "dir"], DAY).select("event_id")
+
+
+@query(f"select l_orderkey, l_linenumber, v >> 11 rt, (v >> 10) & 1 = 1 message_error, (v >> 8) & 1 = 1 service_request, (v >> 3) & 1 = 1 busy, v & 1 = 1 terminal, case when v >> 11 <> u >> 11 then 'STATUS_RT' else '' end || case when v >> 11 <> u >> 11 and x >> 15 = 1 then ',' else '' end || case when x >> 15 = 1 then 'RESERVED_BIT' else '' end anomalies from {LINES}")
+def anomaly_flags(spark, d):
+    st, c, tw = C.status_word(F.col("v")), W.command_word(F.col("u")), W.type_word(F.col("x"))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", *[st[k].alias(k) for k in ("rt", "message_error", "service_request", "busy", "terminal")], F.array_join(C.anomalies(F.col("v"), c["rt"], tw["reserved"]), ",").alias("anomalies"))
+
+
+@query(f"select l_orderkey, l_linenumber, cast(case when y - floor(y) >= 0.5 then floor(y) + 1 else floor(y) end as bigint) us from (select l_orderkey, l_linenumber, case when hz > 0 then (cast(u as bigint) * 65536 + v) * 1e6::double / hz end y from (select *, (x % 9) * 125000.0::double hz from {LINES}))")
+def tick_calibration(spark, d):
+    ticks, hz = F.shiftleft(F.col("u").cast("long"), 16).bitwiseOR(F.col("v").cast("long")), (F.col("x") % 9) * F.lit(125000.0)
+    return lines(spark, d).select("l_orderkey", "l_linenumber", W.ticks_to_us(ticks, hz).cast("long").alias("us"))
+
+
+PLACED = f"(select *, 5 + l_orderkey % 40 m from {RECORDS})"
+WORD = "((l_orderkey * 7 + l_linenumber * 3 + ({}) * 11) % 65536)"
+START = "case when fmt in ('RECEIVE', 'RECEIVE_BROADCAST', 'MODE_CODE_RX_DATA', 'MODE_CODE_BCAST_DATA') then 5 when fmt in ('TRANSMIT', 'MODE_CODE_TX_DATA') then 6 when fmt in ('RT_TO_RT', 'RT_TO_RT_BROADCAST') then 7 end"
+MANY = "case when fmt in ('MODE_CODE_RX_DATA', 'MODE_CODE_BCAST_DATA', 'MODE_CODE_TX_DATA') then 1 else n end"
+STATUS_AT = "case when fmt in ('TRANSMIT', 'MODE_CODE_TX_DATA', 'MODE_CODE_NO_DATA') then 5 when fmt = 'RECEIVE' then 5 + n when fmt in ('MODE_CODE_RX_DATA', 'RT_TO_RT', 'RT_TO_RT_BROADCAST') then 6 end"
 
 
-QUERIES["collapse_window"] = Query(collapse_window)
+@query(f"""select l_orderkey, l_linenumber, cast(case when at_ < m then {WORD.format('at_')} end as int) status, case when start_ + many <= m then array_to_string(list_transform(range(start_, start_ + many), lambda i: {WORD.format('i')}), ',') else '' end data
+from (select *, {STATUS_AT} at_, {START} start_, {MANY} many from {PLACED})""")
+def payload_words(spark, d):
+    df = records(spark, d)
+    word = lambda i: ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + i * 11) % 65536).cast("int")
+    df = df.withColumn("w", F.transform(F.sequence(F.lit(0), 4 + (F.col("l_orderkey") % 40).cast("int")), word))
+    own = C.payload(F.col("fmt"), F.col("w"), F.lit(5), F.col("n"))
+    return df.select("l_orderkey", "l_linenumber", own["status"].alias("status"), F.array_join(own["data_words"], ",").alias("data"))
+
+
+@query(f"select l_orderkey, l_linenumber, case when t in (8, 24) then case when (v >> 10) & 1 = 1 then 'CMD2_DIRECTION' when n <> case when v & 31 = 0 then 32 else v & 31 end then 'CMD2_COUNT' end end reason from {RECORDS}")
+def late_reject(spark, d):
+    c2 = W.command_word(F.col("v"))
+    return records(spark, d).select("l_orderkey", "l_linenumber", C.late_reject_reason(F.col("fmt"), c2["dir"], F.col("n"), c2["n"]).alias("reason"))
+
+
+CODE = "[286, 288, 310, 320, 336, 8192, 8193, 0, 287][1 + x % 9]"
+
+
+@query(f"select l_orderkey, l_linenumber, {CODE} in (286, 288, 310, 320, 336, 8192, 8193) known, coalesce(map {{{', '.join(f"{k}: '{v}'" for k, v in W.ERROR_TITLES.items())}}}[{CODE}], 'unknown') title from {LINES}")
+def error_titles(spark, d):
+    code = F.get(F.array(*[F.lit(k) for k in (286, 288, 310, 320, 336, 8192, 8193, 0, 287)]), F.col("x") % 9)
+    return lines(spark, d).select("l_orderkey", "l_linenumber", W.known_code(code).alias("known"), W.titled(code, W.ERROR_TITLES, F.lit("unknown")).alias("title"))
+
+
+@query(f"select l_orderkey, l_linenumber, case when x % 7 > 0 then (cast(day_ * 86400 + hour_ * 3600 + minute_ * 60 + second_ as bigint)) * 1000000 + micros_ % 1000000 end us from ({IRIG})")
+def vendor_clock(spark, d):
+    t = W.irig(F.col("u"), F.col("v"), F.col("x"))
+    text = F.when(F.col("x") % 7 > 0, W.irig_text(t)).otherwise(W.standard_text(F.col("u").cast("long")))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", W.vendor_us(text).alias("us"))
+
 
 PARTS = "(select doc_id, octet_length(encode(text)) n, hex(encode(text)) h from documents)"
 

@@ -6,6 +6,8 @@ import os
 import re
 from pathlib import Path
 
+from busframe.errors import BadUsage
+
 MOST = 256
 
 
@@ -26,8 +28,8 @@ def matching(pattern: str) -> list[str]:
 def resolve(paths: list[str] = (), manifest_path: str | None = None, pattern: str | None = None) -> list[str]:
     """Exactly one of the three ways, and 1 to 256 recordings."""
     if sum((bool(paths), manifest_path is not None, pattern is not None)) != 1:
-        raise ValueError("name recordings, a manifest or a pattern, and only one of them")
+        raise BadUsage("name recordings, a manifest or a pattern, and only one of them")
     out = list(paths) if paths else manifest(manifest_path) if manifest_path is not None else matching(pattern)
     if not 1 <= len(out) <= MOST:
-        raise ValueError(f"1 to {MOST} recordings are read at a time, not {len(out)}")
+        raise BadUsage(f"1 to {MOST} recordings are read at a time, not {len(out)}")
     return out

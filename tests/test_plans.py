@@ -148,14 +148,14 @@ def test_command_line(spark, tmp_path, capfd):
     (tmp_path / "c.toml").write_text("[mux]\nfield = 0\n[filter]\nexclude_rts = [3]\n[decode]\nodd = 1\n")
     assert main(["decode", *paths, "--output", out, "--config", str(tmp_path / "c.toml")]) == 0
     assert [(r["RT"], r["MUX"]) for r in cells(out)] == [("15", "day")]
-    assert main(["count", *paths]) == 0 and main(["dump", paths[0], "--offset", "0x10", "--length", "17"]) == 0
+    assert main(["count", paths[0]]) == 0 and main(["dump", paths[0], "--raw", "--offset", "0x10", "--length", "17"]) == 0
     text = capfd.readouterr().out
-    assert f"{paths[0]} 2" in text and "Range: 0x00000010-0x00000021" in text and "\n  00000020  " in text
-    assert main(["decode", "--output", out]) == 1
+    assert text.startswith("2\n") and "Range: 0x00000010-0x00000021" in text and "\n  00000020  " in text
+    assert main(["decode", "--output", out]) == 4
     assert main(["decode", *saved(tmp_path, b"\xff" * 1024), "--output", out]) == 2
 
 
 def test_settings():
-    for bad in ({"detect_records": 33}, {"window_us": -1}, {"time_format": "x"}, {"standard_tick_rate_hz": 0.0}, {"mux_delimiter": ""}):
+    for bad in ({"detect_records": 33}, {"collapse_window_us": -1}, {"time_format": "x"}, {"standard_tick_rate_hz": 0.0}, {"mux_delimiter": ""}):
         with pytest.raises(ValueError):
             P.Settings(**bad)

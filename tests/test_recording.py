@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from busframe.sources.recording import Options, Recording, RecordingSource
@@ -16,34 +17,38 @@ def record(us, rt=15, sa=11, n=3, transmit=False, ts=3):
 
 
 def offsets(data, **options):
-    r = Recording(data, Options(**options))
-    return [2 * f[3] for f in r.frames()], r
+    r = Recording.of(data, Options(**options))
+    return [2 * at for run in r.runs() for at in (run.at + np.cumsum([0, *run.counts[:-1]])).tolist()], r
+
+
+def each(data, **options):
+    return [(run.ts_words, run.epoch) for run in Recording.of(data, Options(**options)).runs() for _ in run.counts]
 
 
 def test_plain_and_terminated():
     data = b"".join(record(k * 100, n=3 + k) for k in range(4))
     at, r = offsets(data)
-    assert len(at) == 4 and at[0] == 0 and r.outcome == "OK"
+    assert len(at) == 4 and at[0] == 0 and r.status["outcome"] == "OK"
     assert len(offsets(data + b"\0\0junk!")[0]) == 4
-    assert next(Recording(data).frames())[0] == "IRIG"
+    assert each(data)[0] == (3, 0)
 
 
 def test_standard_clock():
     data = b"".join(record(100000 + k, n=3 + k, ts=2) for k in range(6))
-    assert [f[0] for f in Recording(data).frames()] == ["STANDARD"] * 6
+    assert each(data) == [(2, 0)] * 6
 
 
 def test_header_and_recovery():
     head = b"\xff" * 20
     a, b = record(5) + record(9, n=4), record(12, n=5) + record(20)
     at, r = offsets(head + a + b"\xff" * 30 + b)
-    assert at[0] == 20 and len(at) == 4 and r.sync_losses == 1
-    assert [f[2] for f in Recording(head + a + b"\xff" * 30 + b).frames()] == [0, 0, 1, 1]
+    assert at[0] == 20 and len(at) == 4 and r.status["losses"] == 1
+    assert [e for _, e in each(head + a + b"\xff" * 30 + b)] == [0, 0, 1, 1]
 
 
 @pytest.mark.parametrize(("data", "outcome"), [(b"\0\0", "EMPTY_RECORDING"), (b"\xff" * 1024, "NO_RECORDS"), (b"\x20" * 1024, "HOMOGENEOUS"), (record(3)[:10], "FIRST_TRUNCATED"), (record(3) + record(9, n=4)[:12], "TRUNCATED_TAIL")])
 def test_outcomes(data, outcome):
-    assert offsets(data)[1].outcome == outcome
+    assert offsets(data)[1].status["outcome"] == outcome
 
 
 def test_random_bytes_end():
@@ -59,6 +64,6 @@ def test_source(spark, tmp_path):
         p.write_bytes(b"".join(record(100 * j + k, n=2 + j) for j in range(5)))
         paths.append(str(p))
     spark.dataSource.register(RecordingSource)
-    rows = spark.read.format("busrec").option("paths", "\n".join(paths)).load().orderBy("file_idx", "seq").collect()
+    rows = spark.read.format("busrec").option("paths", "\n".join(paths)).load().filter("status is null").orderBy("file_idx", "seq").collect()
     assert [(r["file_idx"], r["seq"]) for r in rows] == [(f, s) for f in range(2) for s in range(5)]
     assert all(len(r["w"]) == r["nwords"] and r["ts_format"] == "IRIG" for r in rows)
