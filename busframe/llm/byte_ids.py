@@ -76,7 +76,7 @@ class ByteIds:
             except KeyError:
                 out.append(self._word(bare, first, ""))
             try:
-                out += [spaced[w] for w in words]
+                out += list(map(spaced.__getitem__, words))
             except KeyError:
                 out += [spaced[w] if w in spaced else self._word(spaced, w, " ") for w in words]
             if out[-1] is None:

@@ -10,7 +10,6 @@ import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +24,9 @@ SLICE_ROWS = 512
 
 
 class Cache(dict):
-    """What a Python worker keeps between rows and tasks of one stage, in `most` bytes or a little more.
+    """What a Python worker keeps between rows and tasks of one operator, in `most` bytes or a little more.
 
-    hold() counts the bytes and empties the cache when they pass the bound. Each stage begins with empty caches."""
+    hold() counts the bytes and empties the cache when they pass the bound. Another operator begins with empty caches."""
 
     every: weakref.WeakValueDictionary[int, Cache] = weakref.WeakValueDictionary()
 
@@ -48,8 +47,8 @@ class Cache(dict):
         self.size = 0
 
 
-_stage: int | None = None
-#: Called when a worker begins another stage: they let go of models and the like.
+_operator = ""
+#: Called when a worker begins with another operator: they let go of models and the like.
 forgets: list[Callable[[], None]] = []
 
 
@@ -62,11 +61,11 @@ def trimmed() -> None:
         trim(0)
 
 
-def new_stage() -> None:
-    """Workers are used again by later stages; what an earlier one kept goes first."""
-    global _stage
-    if (now := TaskContext.get().stageId()) != _stage:
-        _stage = now
+def begun(operator: str) -> None:
+    """A task of an operator begins. Workers are used again by later stages; what another operator kept goes first."""
+    global _operator
+    if operator != _operator:
+        _operator = operator
         for c in list(Cache.every.values()):
             c.empty()
         for f in forgets:
@@ -132,8 +131,10 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dic
 
     arrow = to_arrow_schema(kind)
 
+    operator = f.__module__
+
     def run(batches):
-        new_stage()
+        begun(operator)
         for columns in f(sliced(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], type=x.type, from_pandas=False) for x in arrow], schema=arrow)
         trimmed()

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busframe.llm.common import ASCII_SPACE, map_rows, new_stage, plain, sliced, trimmed
+from busframe.llm.common import ASCII_SPACE, begun, map_rows, plain, sliced, trimmed
 
 SYMBOLS = "#*$%&|<>"
 #: The field is fitted on at most this many labelled documents of at most so many characters and lines each.
@@ -219,7 +219,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE)
     at = docs.columns.index("text")
 
     def run(batches):
-        new_stage()
+        begun(__name__)
         for batch in sliced(batches):
             yield batch.filter(pa.array([judged(t or "", field, share)["kept"] for t in batch.column(at).to_pylist()], pa.bool_()))
         trimmed()
