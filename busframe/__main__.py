@@ -17,6 +17,8 @@ from busframe.sources.inputs import resolve
 
 AXES = {"types": ("msg_type", C.message_type), "rts": ("rt", None), "buses": ("bus", C.bus), "subaddresses": ("sa", None)}
 log = logging.getLogger("busframe")
+#: How log lines name these events; others go by their own names.
+TOLD = {"EMPTY_RECORDING": "empty recording (empty capture)", "KEY_BACKWARD": "non-monotonic timestamp of a key", "FILE_BACKWARD": "not internally time-sorted", "SYNC_LOSS": "sync loss, scanning forward"}
 
 
 class Parser(argparse.ArgumentParser):
@@ -133,10 +135,10 @@ def tell(found) -> None:
         if f["confidence"]:
             log.info("%s: clock %s (%s: IRIG=%s STD=%s over %s records)", f["path"], f["clock"], f["confidence"].capitalize(), f["irig"], f["standard"], f["probed"])
     for e in found.dropped:
-        log.warning("left out of the merge: %s", e)
+        log.warning("could not be read; truncating it from the merge: %s", e)
     if log.isEnabledFor(logging.WARNING):
         for r in diagnostics(found).orderBy("file_idx", "event").collect():  # a row a file and kind of event
-            log.warning("%s: %s %d times%s", r["path"], r["event"].lower().replace("_", " "), r["n"], "" if r["first_offset"] is None else f", first at 0x{r['first_offset']:X}")
+            log.warning("%s: %s %d times%s", r["path"], TOLD.get(r["event"], r["event"].lower().replace("_", " ")), r["n"], "" if r["first_offset"] is None else f", first at 0x{r['first_offset']:X}")
     if log.isEnabledFor(logging.INFO):
         log.info("%s", ", ".join(f"{k} {v}" for k, v in found.tally().items()))
 
@@ -174,6 +176,8 @@ def count(spark, path: str, s: C.Settings) -> None:
     except SyncLost as e:
         # Here a loss in the middle is an error like any other.
         raise BusframeError(str(e), **e.facts) from e
+    if not n:
+        log.warning("%s: empty recording, or none of its messages passes the filters", path)
     print(n)
     print(f"counted {n} messages in {os.path.basename(path)}", file=sys.stderr)
 

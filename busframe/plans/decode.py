@@ -155,7 +155,7 @@ def decode(spark: SparkSession, paths: list[str], s: Settings = Settings()) -> D
         if merge:
             if s.strict and (back := S.file_backward(df).orderBy("file_idx").first()):
                 path = paths[back["file_idx"]]
-                raise E.NotMonotonic(f"{path} steps backward", path=path, index=back["file_idx"], before=back["before"], us=back["us"])
+                raise E.NotMonotonic(f"{path} is not internally time-sorted", path=path, index=back["file_idx"], before=back["before"], us=back["us"])
             if s.collapse_duplicates:
                 steady = not s.collapse_window_us and S.file_backward(df).isEmpty()
                 df = S.collapse_exact(df, M.CONTENT) if steady else S.collapse_window(df, M.CONTENT, s.collapse_window_us)
@@ -195,9 +195,10 @@ def count(spark: SparkSession, path: str, s: Settings = Settings()) -> int:
 
 def diagnostics(out: Decoding) -> DataFrame:
     """file_idx, path, event, n, first_offset: the messages' events and, for files, backward steps of keys, losses of sync,
-    unclear clocks and odd ends."""
+    unclear clocks and odd ends; in a merge also files that step backward (FILE_BACKWARD)."""
     rows = M.events(out.messages)
-    back = S.backward_steps(out.messages.filter("reject_reason is null")).join(F.broadcast(statuses(out.held[0]).select("file_idx", "path")), "file_idx")  # a row a file
+    accepted, names = out.messages.filter("reject_reason is null"), F.broadcast(statuses(out.held[0]).select("file_idx", "path"))  # a row a file
+    back = S.backward_steps(accepted).join(names, "file_idx")
     steps = back.groupBy("file_idx", "path").agg(F.sum("steps").alias("n")).select("file_idx", "path", F.lit("KEY_BACKWARD").alias("event"), "n", F.lit(None).cast("long").alias("first_offset"))
     files = statuses(out.held[0])
     own = F.array(
@@ -205,6 +206,9 @@ def diagnostics(out: Decoding) -> DataFrame:
         F.struct(F.col("outcome").alias("event"), F.when(F.col("outcome") != "OK", 1).otherwise(0).cast("long").alias("n")),
     )
     ended = files.select("file_idx", "path", F.explode(own).alias("x"), F.col("offset").alias("first_offset")).filter("x.n > 0").select("file_idx", "path", "x.event", "x.n", "first_offset")
+    if len(out.statuses) > 1:
+        unsorted = S.file_backward(accepted).join(names, "file_idx")
+        ended = ended.unionByName(unsorted.select("file_idx", "path", F.lit("FILE_BACKWARD").alias("event"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("first_offset")))
     return rows.unionByName(steps).unionByName(ended)
 
 

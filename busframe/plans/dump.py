@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from busframe.errors import RecordingEmpty, RecordingMissing, RecordingUnreadabl
 from busframe.functions import dump as D
 from busframe.sources.recording import RecordingSource
 
+log = logging.getLogger("busframe")
 #: Bytes of a file that a row of the raw report's scan holds.
 PIECE = 1 << 20
 
@@ -75,8 +77,10 @@ def records(spark: SparkSession, path: str, offset: int = 0, most: int | None =
             yield r["block"]
             yield ""
         elif r["status"]["outcome"] == "WORD_COUNT":
+            log.warning("%s: invalid word_count at 0x%08X", path, r["status"]["offset"])
             yield f"  !! Invalid word_count={r['status']['raw']} at 0x{r['status']['offset']:08X}, stopping"
         elif r["status"]["outcome"] == "TRUNCATED":
+            log.warning("%s: truncated record at 0x%08X", path, r["status"]["offset"])
             yield f"  !! Truncated record at 0x{r['status']['offset']:08X} ({r['status']['need']} bytes needed, {r['status']['have']} available)"
     yield D.RULE
     yield f"{n} records dumped."

@@ -54,12 +54,13 @@ def test_partial(spark, tmp_path, capfd):
     assert [r["TIME_STAMP"][-6:] for r in cells(f"{both}.partial")] == ["000100", "000150", "000200", "000250", "000300"] and not both.exists()
 
 
-def test_merges(spark, tmp_path):
+def test_merges(spark, tmp_path, capfd):
     free = bytearray(record(100))
     free[3] |= 0x80
     paths, out = saved(tmp_path, record(300) + record(100, n=4), record(200), bytes(free) + record(200)), str(tmp_path / "out.csv")
     assert main(["decode", *paths[:2], "-o", out]) == 0 and [r["TIME_STAMP"][-6:] for r in cells(out)] == ["000200", "000300", "000100"]
-    assert main(["decode", *paths[:2], "-o", out, "--strict"]) == 1
+    assert "day.1553.x.y.m0.rec: not internally time-sorted 1 times" in capfd.readouterr().err
+    assert main(["decode", *paths[:2], "-o", out, "--strict"]) == 1 and "is not internally time-sorted" in capfd.readouterr().err
     assert main(["decode", *paths[1:], "-o", out]) == 6
     assert main(["decode", *paths[:2], "-o", paths[1]]) == 1
 
@@ -97,7 +98,9 @@ def test_reports(spark, tmp_path, capfd):
     path, = saved(tmp_path, ERRORED + SPURIOUS + record(3)[:16])
     capfd.readouterr()
     assert main(["dump", path]) == 0
-    lines = capfd.readouterr().out.splitlines()
+    told = capfd.readouterr()
+    lines = told.out.splitlines()
+    assert f"truncated record at 0x{len(ERRORED + SPURIOUS):08X}" in told.err
     assert lines[:5] == [f"File: day.1553.x.y.m0.rec ({len(ERRORED + SPURIOUS) + 16} bytes)", "Record dump starting at offset 0x00000000", "", "-" * 72, f"  Record #0  @  0x00000000  ({len(ERRORED)} bytes, {len(ERRORED) // 2} words)"]
     assert lines[5:10] == ["  Type:   0x4802  ->  BC->RT (Receive)  Bus A  error flag (bit 14): SET", "  Format: RECEIVE", "  Time:   192:15:54:50.000300", "  Cmd:    0x7963  ->  RT15 SA11 R WC=3", "  Error:  0x011E  ->  Manchester/Parity Error or Bit Count Error"]
     assert lines[10] == "  " + raw_lines(ERRORED, 0)[0]
